@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import decontaminate, fingerprint, language, quality, tokens, warc
+from nearfield.llm import decontaminate, fingerprint, language, mixing, quality, tokens, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,8 +41,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.counts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_warc, op4_order_minhash, op8_quality, op9_token_files)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_warc, op4_order_minhash, op7_mixing, op8_quality, op9_token_files, op10_token_counts)}
 
 
 OP1_SQL = r"""
@@ -64,5 +72,33 @@ CASE WHEN page_id = m THEN NULL ELSE m END AS refers_to FROM d
 """
 
 
+#: The permutation and the order of documents are the operator's, in DuckDB's terms.
+_SCATTER = "(((((({x}) % 2147483647 + 2147483647) % 2147483647) * 48271 + 11) % 2147483647 * 69621 + 12345) % 2147483647)"
+
+
+def _scatter(x: str) -> str:
+    return _SCATTER.format(x=x)
+
+
+_KEY = _scatter("sid * 7919 + epochs * 104729 + i * 1299709")
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+s1 AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS cap FROM s0),
+s2 AS (SELECT *, cap / weight AS ratio FROM s1),
+s3 AS (SELECT *, row_number() OVER (ORDER BY ratio, sid) AS pos, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER (ORDER BY ratio, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy FROM s2),
+s4 AS (SELECT *, min(CASE WHEN rest / heavy < ratio THEN pos END) OVER () AS f FROM s3),
+s5 AS (SELECT *, max(CASE WHEN pos = f THEN rest END) OVER () AS r1, max(CASE WHEN pos = f THEN heavy END) OVER () AS h1 FROM s4),
+s6 AS (SELECT sid, source, source_size, CASE WHEN f IS NULL OR pos < f THEN CAST(cap AS DOUBLE) ELSE CAST(r1 * weight AS DOUBLE) / CAST(h1 AS DOUBLE) END AS target, greatest(1, least(512, source_size // 256)) AS block FROM s5),
+s7 AS (SELECT *, (source_size + block - 1) // block AS blocks, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS BIGINT)) ELSE 0 END AS epochs FROM s6),
+s8 AS (SELECT *, CASE WHEN epochs >= 3 THEN 0 ELSE greatest(0, least(blocks, CAST(floor((target - epochs * source_size) / block + 0.5) AS BIGINT))) END AS rest FROM s7),
+picked AS (SELECT sid, list_reduce(list_prepend(x, range(0, 16)), lambda a, i: CASE WHEN ({_scatter(f"greatest(a, ({_KEY} % blocks + blocks - a) % blocks) + {_KEY}")} // 1024) % 2 = 1 THEN ({_KEY} % blocks + blocks - a) % blocks ELSE a END) AS b FROM (SELECT *, unnest(range(0, rest)) AS x FROM s8)),
+p AS (SELECT d.doc_id, d.size, s8.*, sum(d.size) OVER (PARTITION BY sid ORDER BY {_scatter("coalesce(doc_id, 0)")} % 4096, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM d JOIN s8 ON d.source IS NOT DISTINCT FROM s8.source),
+o AS (SELECT sid, start, least(start + size, (b + 1) * block) - greatest(start, b * block) AS n, b FROM (SELECT *, unnest(range(CAST(start // block AS BIGINT), CAST((start + size - 1) // block + 1 AS BIGINT))) AS b FROM p WHERE size > 0)),
+t AS (SELECT sid, start, sum(n) AS extra FROM o JOIN picked USING (sid, b) GROUP BY ALL)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * epochs + coalesce(extra, 0) END AS BIGINT) AS taken FROM p LEFT JOIN t USING (sid, start)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL, "op7_mixing": OP7_SQL}
