@@ -1,0 +1 @@
+"""Vector search and retrieval on Spark DataFrames."""
