@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.workers import ship
+
 #: Bytes of one Arrow batch sent to a Python worker; long rows make smaller batches.
 BATCH_BYTES = 8 << 20
 
@@ -63,17 +63,7 @@ def arrow_batches(spark: SparkSession) -> None:
     Also sends this package to Python workers that would not find it on their path.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    context = spark.sparkContext
-    if getattr(context, "_nearfield_sent", False):
-        return
-    made = tempfile.mkdtemp(prefix="nearfield-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    # The driver serves this file to the executors; nothing reads it by its path.
-    context.addPyFile(shutil.make_archive(f"{made}/nearfield", "zip", root, "nearfield"))
-    context._nearfield_sent = True
+    ship(spark)
 
 
 def held_out(doc_id: Column) -> Column:

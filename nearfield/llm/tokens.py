@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,27 +44,35 @@ _HEADER = np.dtype([("part", "<i8"), ("before", "<i8"), ("docs", "<i8"), ("ids",
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each value, 1 at least."""
-    high = (ids >> np.uint64(32)).astype(np.uint32)
-    exponent = lambda x: np.frexp(x.astype(np.float64))[1]  # noqa: E731  exact below 2**53
-    return np.maximum(np.where(high > 0, exponent(high) + 32, exponent(ids & np.uint64(0xFFFFFFFF))), 1)
+    exponent = lambda x: (x.astype(np.float64).view(np.int64) >> 52) - 1022  # noqa: E731  exact below 2**53
+    if not len(ids) or ids.max() < 1 << 32:
+        return np.maximum(exponent(ids), 1).astype(np.uint8)
+    high = ids >> np.uint64(32)
+    return np.maximum(np.where(high > 0, exponent(high) + 32, exponent(ids & np.uint64(0xFFFFFFFF))), 1).astype(np.uint8)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Simple-8b of the ids: (words, the word at which each block begins, escaped values)."""
     n = len(ids)
     ids = ids.astype(np.uint64)
-    width = _widths(ids)
-    best = np.full(n, 15, np.int64)
-    best[width > 60] = 0
-    # From few ids a word to many: what fits last is the best. A block's last word may be short.
-    edge = np.minimum((np.arange(n) // BLOCK + 1) * BLOCK, n)
+    blocks = -(-n // BLOCK)
+    # Behind a block stand zero-bit places, so its last word may be short and none runs into the next.
+    wide = np.zeros((blocks, BLOCK + 60), np.uint8)
+    flat = np.zeros(blocks * BLOCK, np.uint8)
+    flat[:n] = _widths(ids)
+    wide[:, :BLOCK] = flat.reshape(blocks, BLOCK)
+    best = np.where(wide[:, :BLOCK] > 60, np.uint8(0), np.uint8(15))
+    # From few ids a word to many: what fits last is the best. The widest value of a window comes from two halves.
+    power, widest = 1, wide
     for s in range(14, 1, -1):
-        if not (width <= BITS[s]).any():
-            break
-        over = np.concatenate(([0], np.cumsum(width > BITS[s])))
-        until = np.minimum(np.arange(n) + COUNTS[s], edge)
-        best[over[until] == over[:-1]] = s
-    after = np.minimum(np.arange(n) + COUNTS[best], edge).tolist()
+        count, bits = int(COUNTS[s]), int(BITS[s])
+        while power * 2 <= count:
+            widest = np.maximum(widest[:, :-power], widest[:, power:])
+            power *= 2
+        rest = count - power
+        fits = np.maximum(widest[:, :BLOCK], widest[:, rest : rest + BLOCK]) <= bits
+        np.copyto(best, np.uint8(s), where=fits)
+    steps = COUNTS[best.ravel()].tolist()
     at: list[int] = []
     begins = []
     for start in range(0, n, BLOCK):
@@ -71,9 +80,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, stop = start, min(start + BLOCK, n)
         while i < stop:
             at.append(i)
-            i = after[i]
+            i += steps[i]
     first = np.array(at, np.int64)
-    chosen = best[first]
+    edge = np.minimum((first // BLOCK + 1) * BLOCK, n)
+    chosen = best.ravel()[first]
     words = np.zeros(len(first), np.uint64)
     escaped = ids[first[chosen == 0]]
     words[chosen == 0] = np.arange(len(escaped), dtype=np.uint64)
@@ -81,10 +91,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for s in np.unique(chosen):
         if s:
             rows = np.flatnonzero(chosen == s)
-            grid = first[rows][:, None] + np.arange(COUNTS[s])
-            values = np.where(grid < edge[first[rows]][:, None], padded[grid], np.uint64(0))
-            shifted = values << (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-            words[rows] = np.bitwise_or.reduce(shifted, axis=1) | np.uint64(int(s) << 60)
+            begin, end = first[rows], edge[rows]
+            word = np.full(len(rows), int(s) << 60, np.uint64)
+            for k in range(COUNTS[s]):
+                word |= np.where(begin + k < end, padded[begin + k], np.uint64(0)) << np.uint64(k * BITS[s])
+            words[rows] = word
     return words, np.array(begins, np.int64), escaped
 
 
@@ -138,29 +149,52 @@ def records_of(content: bytes) -> Iterator[tuple[int, int, list[int | None], np.
         yield int(head["part"]), int(head["before"]), docs, lengths, unpack(words, begins, escaped, int(head["ids"]))
 
 
-#: The byte-level splitting rule, a fixed value of this tokenizer, and the texts for which its
-#: character classes are the same in every Unicode version: Latin letters, marks and plain blanks.
-_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The byte-level splitting rule, a fixed value of this tokenizer, with its character classes (letters,
+#: digits) spelt out for the texts of _PLAIN: Latin letters, marks and plain blanks.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-z0-9ªµºÀ-ÖØ-öø-ſ²³¹¼½¾]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ]*")
-_MEMO = 400_000
+#: Pre-tokens that a worker remembers.
+_MEMO = 800_000
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves,
+    the others for the letters from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class _Memo(dict):
+    """The ids of pre-tokens as bytes; the library's model makes those that are missing."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= _MEMO:
+            self.clear()
+        spelt = part.encode().decode("latin-1").translate(self.letters)
+        made = self[part] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        return made
 
 
 class Encoder:
     """The tokenizers library behind a memo of pre-tokens.
 
     Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens in
-    turn. Each distinct pre-token is encoded by the library once. Texts with other characters, or
-    with a special token in them, go to the library whole.
+    turn. Each distinct pre-token is encoded by the library's model once. Texts with other characters,
+    or with a special token in them, go through the whole library.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.split = regex.compile(_SPLIT).findall
+        self.split = re.compile(_SPLIT).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self.library.model)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -169,16 +203,7 @@ class Encoder:
         """The ids as little-endian 32-bit integers."""
         if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
-        parts = self.split(text)
-        try:
-            return b"".join(map(self.memo.__getitem__, parts))
-        except KeyError:
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            new = list({p for p in parts if p not in self.memo})
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.memo[p] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.memo.__getitem__, parts))
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
 
 
 @lru_cache(maxsize=2)
@@ -214,9 +239,9 @@ def write(docs: DataFrame, path: str, *, tokenizer: str = TOKENIZER, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["record"])
 
         for batch in batches:
-            for doc, text, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                got = known.encode((text or b"").decode("utf-8", "replace")) + end
-                part = p
+            numbers, texts, parts = (batch.column(i).to_pylist() for i in range(3))
+            for doc, text, p in zip(numbers, texts, parts, strict=True):
+                got, part = known.encode((text or b"").decode("utf-8", "replace")) + end, p
                 ids.append(doc)
                 chunks.append(got)
                 lengths.append(len(got) // 4)
