@@ -154,7 +154,7 @@ def records_of(content: bytes) -> Iterator[tuple[int, int, list[int | None], np.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-z0-9ªµºÀ-ÖØ-öø-ſ²³¹¼½¾]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ]*")
 #: Pre-tokens that a worker remembers.
-_MEMO = 800_000
+_MEMO = 400_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -171,11 +171,15 @@ class _Memo(dict):
     def __init__(self, model) -> None:
         super().__init__()
         self.model, self.letters = model, _byte_letters()
+        self.blank = chr(self.letters[32])
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= _MEMO:
             self.clear()
-        spelt = part.encode().decode("latin-1").translate(self.letters)
+        if part.isascii() and part[-1].isalpha():  # a word, behind a blank perhaps
+            spelt = part.replace(" ", self.blank)
+        else:
+            spelt = part.encode().decode("latin-1").translate(self.letters)
         made = self[part] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return made
 
