@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import decontaminate, fingerprint, language, mixing, neardup, quality, tokens, unigram, warc
+from nearfield.llm import decontaminate, fingerprint, language, lines, mixing, neardup, quality, tokens, unigram, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.summary(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_warc, op4_order_minhash, op5_near_duplicates, op7_mixing, op8_quality, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_warc, op4_order_minhash, op5_near_duplicates, op6_line_dedup, op7_mixing, op8_quality, op9_token_files, op10_token_counts)}
 
 
 OP1_SQL = r"""
