@@ -24,6 +24,8 @@ from nearfield.functions.metrics import Distance, Metric, cosine, distance, norm
 QUERY_BLOCK, GRID_BYTES = 1024, 32 << 20
 #: Queries up to which the expression path may broadcast them.
 BROADCAST_QUERIES = 10_000
+#: A k over this is cut to the number of records beforehand.
+LARGE_K = 100_000
 
 
 def scored(records: DataFrame, query: Sequence[float], metric: str | Distance, vector_column: str = "vector") -> DataFrame:
@@ -40,6 +42,8 @@ def nearest(records: DataFrame, query: Sequence[float], k: int, metric: str | Di
     """The k records nearest to one query, ascending by distance then id."""
     if where is not None:
         records = records.where(where)
+    if k > LARGE_K:
+        k = min(k, records.count())  # top-k memory is reserved for k rows
     return scored(records, query, metric, vector_column).orderBy(F.col("distance").asc_nulls_last(), id_column).limit(k)
 
 

@@ -73,19 +73,22 @@ class VariantFields:
 
 
 
-def _number(value: Literal) -> float:
-    """The number that a range compares with; what is no number counts as 0."""
+def _number(value: Literal) -> int | float:
+    """The number that a field is compared with; in a range, what is no number counts as 0.
+
+    Whole numbers are integers, as a double would keep a filter on an integer column from the scan.
+    """
     if isinstance(value, bool) or not isinstance(value, int | float):
         log.warning("a range over %r compares with 0", value)
-        return 0.0
-    return float(value)
+        return 0
+    return int(value) if float(value).is_integer() else value
 
 
 def _equal(fields: Fields, field: str, value: Literal) -> Column | None:
     if isinstance(value, bool):
         found, value = fields.boolean(field), bool(value)
     elif isinstance(value, int | float):
-        found = fields.number(field)
+        found, value = fields.number(field), _number(value)
     elif isinstance(value, str):
         found = fields.string(field)
     else:
