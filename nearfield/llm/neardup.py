@@ -1,15 +1,18 @@
 """Near-duplicate documents by MinHash bands and odd sketches.
 
 Texts of equal shingle sets form a class. Each class gets ``BANDS * ROWS`` MinHash samples; classes
-that agree in all rows of a band share a bucket. The samples are also folded into an odd sketch, a
-bitmap of parities: the population count of two sketches' XOR tells how many samples differ, and pairs
-that differ too much for the threshold are dropped without looking at their sets. What remains is
-confirmed on the full sets.
-
-A bucket may hold thousands of near copies, so its pairs are not all made. In each round the members
-are paired with one hub; confirmed links are joined to components. Buckets whose members are in one
-component are done. When the pairs of members in different components are few, all of them are
-compared, so no component misses a link that a bucket holds; rounds only make these few.
+that agree in all rows of a band share a bucket. Classes that share a bucket with others are folded
+into odd sketches, bitmaps of parities: a class of at most ``WHOLE`` shingles from all of them (a
+sample as large as the set), a larger one from ``SAMPLES`` MinHash samples. The population count of
+two sketches' XOR tells how much they differ. For whole sets it is never above the size of the
+symmetric difference, so no link is lost to it; for samples the limit lies six standard deviations
+off. Pairs that may be linked by their sizes and sketches are confirmed on the full sets.
+
+A bucket may hold thousands of near copies, so its pairs are not all made. First each member is paired
+with one hub, and confirmed links give members the label of their hub. Pairs under one label need no
+comparison; hub rounds go on while they make the other pairs markedly fewer. Then all pairs of
+a bucket under different labels are compared, sketches inside the join, so that only pairs that pass
+leave it, and no link that a bucket holds is missed.
 
 Two sets at the threshold share no band with probability (1 - 0.85**4)**20 = 4e-7.
 
@@ -33,15 +36,21 @@ from nearfield.llm.components import components
 
 #: Words of a shingle; link if 100 * intersection >= LINK * union.
 SHINGLE, LINK = 5, 85
-BANDS, ROWS, SKETCH_BITS = 20, 4, 512
-#: Samples in which a pair at the threshold may differ: the mean, and six standard deviations more.
-SAMPLES = BANDS * ROWS
-MOST_DIFFERENT = round(SAMPLES * (1 - LINK / 100) + 6 * (SAMPLES * LINK / 100 * (1 - LINK / 100)) ** 0.5)
-#: Bits set in the XOR of two sketches with that many different samples: the mean, and four deviations.
-_MEAN_BITS = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * MOST_DIFFERENT))
-MOST_BITS = round(_MEAN_BITS + 4 * _MEAN_BITS**0.5 / 2)
-#: Pairs across components, for each bucket entry, that are compared outright; rounds before that in any case.
-PAIRS_AN_ENTRY, MOST_ROUNDS = 2, 8
+#: Bands and rows of the buckets; shingles that are folded whole; samples of larger sets; bits of a sketch.
+BANDS, ROWS, WHOLE, SAMPLES, SKETCH_BITS = 20, 4, 1024, 400, 1024
+
+
+def most_bits(samples: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
+    """Bits that the sketches of two sampled sets at the threshold may differ in: the mean for six
+    standard deviations more differing samples than expected, and four deviations of the bits."""
+    share = LINK / 100
+    different = samples * (1 - share) + 6 * (samples * share * (1 - share)) ** 0.5
+    mean = bits / 2 * (1 - (1 - 2 / bits) ** (2 * different))
+    return round(mean + 4 * mean**0.5)
+
+
+#: Hub rounds at most, and the share of pairs that a round must leave or less for another one to follow.
+MOST_ROUNDS, WORTH = 8, 0.7
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -86,11 +95,11 @@ class Shingler:
         return np.unique(_mix(code * _M + np.uint64(n)))
 
 
-def samples(shingles: np.ndarray) -> np.ndarray:
-    """The MinHash samples of a set that is not empty."""
-    out = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
+def samples(shingles: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """The first n MinHash samples of a set that is not empty."""
+    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(shingles), 1024):  # keeps the grid in cache
-        np.minimum(out, ((shingles[a : a + 1024][None, :] ^ _XOR) * _MULTIPLY).min(1), out=out)
+        np.minimum(out, ((shingles[a : a + 1024][None, :] ^ _XOR[:n]) * _MULTIPLY[:n]).min(1), out=out)
     return out
 
 
@@ -101,121 +110,146 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(sample: np.ndarray) -> np.ndarray:
-    """Parities of the samples, each dealt to one bit by its number and value."""
-    bit = _mix(sample + np.arange(1, SAMPLES + 1, dtype=np.uint64) * _M) % np.uint64(SKETCH_BITS)
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles, or of the numbered samples of a large set, each dealt to one bit."""
+    if len(shingles) > WHOLE:
+        shingles = samples(shingles, SAMPLES) + np.arange(1, SAMPLES + 1, dtype=np.uint64) * _M
+    bit = _mix(shingles * _M + np.uint64(1)) % np.uint64(SKETCH_BITS)
     odd = (np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+_LONGS = pa.list_(pa.int64())
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_key (digest of the set, null for an empty one), bands, sketch."""
+    """doc_id, n_shingles, class_key (digest of the set, null for an empty one), bands."""
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            n, keys, bands, sketches = [], [], [], []
+            n, keys, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingler.of(text)
                 n.append(len(s))
-                sample = samples(s) if len(s) else None
                 keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
-                bands.append(band_keys(sample) if len(s) else None)
-                sketches.append(odd_sketch(sample) if len(s) else None)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)], names=["doc_id", "n_shingles", "class_key", "bands", "sketch"])
+                bands.append(band_keys(samples(s)) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, _LONGS)], names=["doc_id", "n_shingles", "class_key", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class_key binary, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, class_key binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """class_key and the sorted set of each text."""
+    """class_key, n, sketch and the sorted set of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            sets = [shingler.of(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class_key", "shingles"])
+            texts = batch.column(0).to_pylist()
+            for a in range(0, len(texts), 256):
+                sets = [s for s in map(shingler.of, texts[a : a + 256]) if len(s)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([odd_sketch(s) for s in sets], _LONGS), pa.array([s.view(np.int64) for s in sets], _LONGS)],
+                    names=["class_key", "n", "sketch", "shingles"],
+                )
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "class_key binary, shingles array<long>")
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "class_key binary, n long, sketch array<long>, shingles array<long>")
 
 
 def _alike(a: str, b: str) -> Column:
     """Whether two classes may be linked by their sizes and sketches: columns n and sketch with these prefixes."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
     bits = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * LINK) & (bits <= MOST_BITS)
+    # Linked sets of n and m elements differ in (100 - LINK) * (n + m) / (100 + LINK) at most.
+    limit = F.when(F.greatest(n, m) <= WHOLE, F.floor((100 - LINK) * (n + m) / (100 + LINK))).when(F.least(n, m) > WHOLE, F.lit(most_bits())).otherwise(F.lit(SKETCH_BITS))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * LINK) & (bits <= limit)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets."""
-    for side in ("b", "a"):  # b may be a hub of many pairs: AQE splits it, and rows are still small
+    for side in ("b", "a"):
         pairs = pairs.join(sets.select(F.col("class_key").alias(f"{side}_key"), F.col("shingles").alias(f"{side}_set")), F.col(side) == F.col(f"{side}_key"))
     both = F.size(F.array_intersect("a_set", "b_set"))
     return pairs.where(both * 100 >= (F.size("a_set") + F.size("b_set") - both) * LINK).select("a", "b").distinct()
 
 
-def _hub_pairs(entries: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
-    """Each member of a bucket with the bucket's hub, if they are in different components and may be alike.
+def _hub_pairs(entries: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+    """Each member of a bucket with the bucket's hub, if they have different labels and may be alike.
 
     `entries` has bucket, node, label.
     """
     rank = F.xxhash64("node", F.lit(turn))
-    hubs = stage(entries.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "label")).alias("h")).select(F.col("bucket").alias("of"), F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label")), "nd-hubs")
+    least = F.min(F.struct(rank.alias("rank"), "node", "label"))
+    hubs = stage(entries.groupBy("bucket").agg(least.alias("h")).select(F.col("bucket").alias("of"), F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label")), "nd-hubs")
     pairs = entries.join(hubs, F.col("bucket") == F.col("of")).where("label != hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     for side in ("b", "a"):
-        pairs = pairs.join(nodes.select(F.col("class_key").alias(f"{side}_key"), F.col("n_shingles").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), F.col(side) == F.col(f"{side}_key")).drop(f"{side}_key")
+        pairs = pairs.join(sets.select(F.col("class_key").alias(f"{side}_key"), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), F.col(side) == F.col(f"{side}_key")).drop(f"{side}_key")
     return pairs.where(_alike("a_", "b_")).select("a", "b")
 
 
-def _all_pairs(entries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members in different components that may be alike; the sketches are compared inside the join."""
-    full = stage(entries.join(nodes.select(F.col("class_key").alias("key"), F.col("n_shingles").alias("n"), "sketch"), F.col("node") == F.col("key")).drop("key"), "nd-open")
-    a, b = (full.select(*[F.col(c).alias(f"{side}_{c}") for c in ("bucket", "node", "label", "n", "sketch")]) for side in "ab")
-    met = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & _alike("a_", "b_"))
-    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+def _all_pairs(entries: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs of a bucket's members with different labels that may be alike.
+
+    The sketches are compared inside the join, and a pair leaves it in the first of its common buckets only.
+    """
+    for table in (sets.select(F.col("class_key").alias("key"), "n", "sketch"), nodes.select(F.col("class_key").alias("key"), "bands")):
+        entries = entries.join(table, F.col("node") == F.col("key")).drop("key")
+    full = stage(entries, "nd-open")
+    a, b = (full.select(*[F.col(c).alias(f"{side}_{c}") for c in full.columns]) for side in "ab")
+    differ = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
+    once = F.element_at(F.array_intersect("a_bands", "b_bands"), 1) == F.col("a_bucket")
+    met = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & differ & _alike("a_", "b_") & once)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
 
+def _relabelled(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """The entries after a hub round: a label of which a member is linked with a hub becomes the hub's label.
 
-def _open(entries: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, int, int]:
-    """The entries of buckets with several components, with labels; how many they are, and their pairs across components."""
-    if labels is None:
-        known = entries.withColumn("label", F.col("node"))
-    else:
-        known = entries.join(labels.select(F.col("node").alias("key"), "component"), F.col("node") == F.col("key"), "left").withColumn("label", F.coalesce("component", "node")).drop("key", "component")
-    known = stage(known, "nd-labelled")
+    Labels only ever join what is linked, though they may not join all of it; components are found at the end.
+    """
+    of = entries.select("node", "label").distinct()
+    known = links.join(of.select(F.col("node").alias("a"), F.col("label").alias("from")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("to")), "b")
+    moves = stage(known.where("to != from").groupBy("from").agg(F.min("to").alias("to")), "nd-moves")
+    return entries.join(moves, F.col("label") == F.col("from"), "left").select("bucket", "node", F.coalesce("to", "label").alias("label"))
+
+
+def _open(entries: DataFrame) -> tuple[DataFrame, int]:
+    """The entries of buckets with several labels, and the number of pairs under different labels."""
+    known = stage(entries, "nd-labelled")
     sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy(F.col("bucket").alias("of")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels")).where("labels > 1")
     sizes = stage(sizes, "nd-sizes")
-    n, pairs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0))).first()
-    return known.join(sizes.select("of"), F.col("bucket") == F.col("of")).drop("of"), int(n), int(pairs)
+    pairs = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0))).first()[0]
+    return known.join(sizes.select("of"), F.col("bucket") == F.col("of")).drop("of"), int(pairs)
+
+
+def _links(opened: DataFrame, pairs: int, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links that connect all classes which the links of all buckets connect."""
+    links = None
+    for turn in range(MOST_ROUNDS):
+        found = stage(_confirmed(_hub_pairs(opened, sets, turn), sets), "nd-links")
+        links = found if links is None else links.unionByName(found)
+        before, (opened, pairs) = pairs, _open(_relabelled(opened, found))
+        if pairs > WORTH * before or not pairs:
+            break
+    return links.unionByName(stage(_confirmed(_all_pairs(opened, sets, nodes), sets), "nd-links")) if pairs else links
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The profile of each document, and (class_key, component): the least doc_id that a class is linked with."""
     profile = stage(profiles(docs), "nd-profiles")
     usable = profile.where("class_key is not null and doc_id is not null")
-    nodes = stage(usable.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nd-nodes")
+    nodes = stage(usable.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nd-nodes")
     entries = nodes.select(F.explode("bands").alias("bucket"), F.col("class_key").alias("node"))
     buckets = stage(entries.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of"), "nd-buckets")
-    entries = stage(entries.join(buckets, F.col("bucket") == F.col("of")).drop("of"), "nd-entries")
-    known = nodes.select("class_key", "rep", "n_shingles", "sketch")
-    opened, n, pairs = _open(entries, None)
-    if not n:
-        return profile, nodes.select("class_key", F.col("rep").alias("component"))
-    wanted = known.join(entries.select("node").distinct(), F.col("class_key") == F.col("node"), "left_semi").select(F.col("rep").alias("id"))
+    opened, pairs = _open(entries.join(buckets, F.col("bucket") == F.col("of")).select("bucket", "node", F.col("node").alias("label")))
+    known = nodes.select("class_key", "rep")
+    if not pairs:
+        return profile, known.select("class_key", F.col("rep").alias("component"))
+    wanted = known.join(opened.select("node").distinct(), F.col("class_key") == F.col("node"), "left_semi").select(F.col("rep").alias("id"))
     sets = stage(shingle_sets(docs.join(wanted, docs["doc_id"] == F.col("id"), "left_semi")), "nd-sets")
-    links, labels, last = None, None, False
-    for turn in range(MOST_ROUNDS + 1):
-        last = turn > 0 and (pairs <= PAIRS_AN_ENTRY * n or turn == MOST_ROUNDS)
-        found = stage(_confirmed(_all_pairs(opened, known) if last else _hub_pairs(opened, known, turn), sets), "nd-links")
-        links = found if links is None else links.unionByName(found)
-        labels = stage(components(links), "nd-labels")
-        if last:
-            break
-        opened, n, pairs = _open(entries, labels)
-        if not n:
-            break
+    labels = stage(components(_links(opened, pairs, sets)), "nd-labels")
     drop_staged(sets)
     linked = known.join(labels, F.col("class_key") == F.col("node"))
     least = stage(linked.groupBy(F.col("component").alias("of")).agg(F.min("rep").alias("least")), "nd-least")
