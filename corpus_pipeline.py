@@ -19,7 +19,7 @@ from nearfield.llm._shared import held_out, stage
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(~held_out(F.col("doc_id"))))
-    return language.classify(docs, model).where("not rejected").select(*docs.columns)
+    return language.classify(docs, model, "_language_").where("not _language_rejected").select(*docs.columns)
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

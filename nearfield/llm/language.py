@@ -31,7 +31,11 @@ DIMS = 4096
 #: Labelled rows a language that the centroids are fitted on, and centroids a language.
 PER_LANG, CENTROIDS = 500, 4
 #: A text is rejected below this share of the similarity that all but REJECT_TAIL of a language's texts reach.
-REJECT_SHARE, REJECT_TAIL = 0.25, 0.005
+REJECT_SHARE, REJECT_TAIL = 0.25, 0.02
+#: Distinct trigrams from which that limit holds in full; with fewer the cosine is low for any text, by their root.
+ENOUGH = 100
+#: A cluster of fewer rows than this share of a language's sample (two at least) is outliers, and dropped.
+LEAST_CLUSTER = 0.02
 UNKNOWN = "und"
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -72,7 +76,8 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     for _ in range(rounds):
         own = (rows @ centroids.T).argmax(1)
         centroids = unit(np.stack([rows[own == j].mean(0) if (own == j).any() else centroids[j] for j in range(k)]))
-    return centroids
+    sizes = np.bincount((rows @ centroids.T).argmax(1), minlength=k)
+    return centroids[sizes >= min(sizes.max(), max(2, LEAST_CLUSTER * len(rows)))]
 
 
 @dataclass
@@ -86,7 +91,9 @@ class Model:
     def predict(self, texts: list[bytes | None]) -> Iterator[tuple[str, float, bool]]:
         for a in range(0, len(texts), _BLOCK):
             part = texts[a : a + _BLOCK]
-            likeness = unit(counts([t or b"" for t in part]) * self.idf) @ self.centroids.T if self.langs else None
+            made = counts([t or b"" for t in part])
+            evidence = np.sqrt(np.minimum(1, (made > 0).sum(1) / ENOUGH))
+            likeness = unit(made * self.idf) @ self.centroids.T if self.langs else None
             for i, t in enumerate(part):
                 if not self.langs or not t or not has_letter(t):
                     yield UNKNOWN, 0.0, True
@@ -94,7 +101,7 @@ class Model:
                 best = int(likeness[i].argmax())
                 lang = int(self.owner[best])
                 score = float(min(1.0, max(0.0, likeness[i, best])))
-                yield self.langs[lang], score, score < self.least[lang]
+                yield self.langs[lang], score, score < self.least[lang] * evidence[i]
 
 
 def fit(training: DataFrame, *, per_lang: int = PER_LANG, centroids: int = CENTROIDS) -> Model:
@@ -141,22 +148,23 @@ def fit(training: DataFrame, *, per_lang: int = PER_LANG, centroids: int = CENTR
     return Model(langs, idf, np.concatenate(found) if found else np.zeros((0, DIMS), np.float32), np.array(owner, int), np.array(least))
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred, score and rejected to the documents."""
+def classify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """Adds lang_pred, score and rejected, with a prefix, to the documents; columns of these names are replaced."""
     spark = docs.sparkSession
     arrow_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score", "rejected")
+    names = [prefix + n for n in ("lang_pred", "score", "rejected")]
+    docs = docs.drop(*names)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = list(shared.value.predict([t if t is None or isinstance(t, bytes) else t.encode() for t in batch.column(at).to_pylist()]))
-            batch = batch.append_column("lang_pred", pa.array([x[0] for x in got], pa.string()))
-            batch = batch.append_column("score", pa.array([x[1] for x in got], pa.float64()))
-            yield batch.append_column("rejected", pa.array([bool(x[2]) for x in got], pa.bool_()))
+            batch = batch.append_column(names[0], pa.array([x[0] for x in got], pa.string()))
+            batch = batch.append_column(names[1], pa.array([x[1] for x in got], pa.float64()))
+            yield batch.append_column(names[2], pa.array([bool(x[2]) for x in got], pa.bool_()))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, (T.StringType(), T.DoubleType(), T.BooleanType()))])
     return docs.mapInArrow(run, schema)
 
 

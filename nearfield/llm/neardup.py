@@ -248,7 +248,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not pairs:
         return profile, known.select("class_key", F.col("rep").alias("component"))
     wanted = known.join(opened.select("node").distinct(), F.col("class_key") == F.col("node"), "left_semi").select(F.col("rep").alias("id"))
-    sets = stage(shingle_sets(docs.join(wanted, docs["doc_id"] == F.col("id"), "left_semi")), "nd-sets")
+    texts = docs.select("doc_id", "text")
+    sets = stage(shingle_sets(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")), "nd-sets")
     labels = stage(components(_links(opened, pairs, sets, nodes)), "nd-labels")
     drop_staged(sets)
     linked = known.join(labels, F.col("class_key") == F.col("node"))
