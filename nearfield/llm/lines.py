@@ -13,10 +13,11 @@ Classes may chain: a and c can be in one class by way of b.
 
 What moves. Texts are not grouped: lines are known by 128 bits of hash, and what the join needs is hashed
 where the line is read; copies are combined before the shuffle, so a very common line is one row a
-task. Only lines of candidate pairs are looked up again.
+task. Only lines of candidate pairs are looked up again: a bitmap of fixed size, which tasks get as a
+broadcast, keeps nearly all others from the shuffle.
 
-Defined results. Lines are cut at line feeds and trimmed of blanks; blank lines are not counted and
-always kept. Lines of fewer than ``LEAST`` characters are linked with nothing, so only exact copies of
+Defined results. Lines are cut at line feeds and trimmed of blanks, tabs and the like; blank lines are
+always kept and have no class. Lines of fewer than ``LEAST`` characters are linked with nothing, so only exact copies of
 them are dropped. Null text has no lines. Null doc_ids come last of all. Rows that share a doc_id are
 one document for what they keep. Equal lines inside a document are dropped like others.
 """
@@ -33,8 +34,10 @@ from nearfield.llm.components import components
 
 #: Edits between linked lines at most; characters of a line that may be linked at least.
 EDITS, LEAST = 1, 16
+#: Bits of the bitmap that picks lines to look up: 2 MB at most, as rows of 64 bits.
+BITMAP = 1 << 23
 #: Letters whose counts are compared, ten bits each.
-LETTERS = "enatro"
+LETTERS = "enat"
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -171,14 +174,14 @@ def distance(a: Column, b: Column, edits: int = EDITS) -> Column:
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line and its two hashes for every line that is not blank."""
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = split.select("doc_id", "pos", F.trim(F.regexp_replace("line", r"[\t\r\x0B\f]", " ")).alias("line")).where("line != ''")
+    line = split.select("doc_id", "pos", F.btrim("line", F.lit(" \t\r\x0b\f")).alias("line")).where("line != ''")
     return line.select("doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def _letters(line: Column) -> Column:
     packed = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
-        count = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 1024
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 1024
         packed = packed.bitwiseOR(F.call_function("shiftleft", count.cast("long"), F.lit(10 * k)))
     return packed
 
@@ -219,11 +222,21 @@ def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines whose hash has its bit set in the bitmap of the wanted ones: these, and few others."""
+    bit = F.pmod(F.col("h1"), F.lit(BITMAP))
+    word, mask = F.call_function("shiftright", bit, F.lit(6)), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    bitmap = wanted.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    met = rows.select("h1", "h2", "line", word.alias("at"), mask.alias("mask")).join(F.broadcast(bitmap), F.col("at") == F.col("word"))  # BITMAP / 64 rows at most
+    return met.where(F.col("bits").bitwiseAND(F.col("mask")) != 0).select("h1", "h2", "line")
+
+
 def links(docs: DataFrame, lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """The verified pairs (a, b) of line ids."""
     pairs = stage(candidates(lines, edits), "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id.h1", "id.h2")
-    texts = occurrences(docs).select("h1", "h2", "line").join(wanted, ["h1", "h2"], "left_semi").distinct()
+    wanted = stage(wanted, "line-wanted")
+    texts = _picked(occurrences(docs), wanted).join(wanted, ["h1", "h2"], "left_semi").distinct()
     texts = stage(texts.select(F.struct("h1", "h2").alias("id"), "line"), "line-texts")
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(f"{side}_id"), F.col("line").alias(f"{side}_line")), F.col(side) == F.col(f"{side}_id"))
@@ -243,15 +256,15 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Dat
 
 
 def summary(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_kept (lines that are the first of their class), n_first
-    (distinct lines first seen in it), n_links (links of those)."""
+    """One row per document: doc_id, n_lines (line feeds and one), n_kept (lines that are the first of
+    their class), n_first (distinct lines first seen in it), n_links (links of those)."""
     classes = stage(line_classes(docs, edits, least), "line-classes")
     first = classes.groupBy("class").agg(F.min("first_doc").alias("doc"))
     kept = first.groupBy("doc").agg(F.count("*").alias("n_kept"))
     linked = classes.groupBy(F.col("first_doc").alias("doc")).agg(F.count("*").alias("n_first"), F.sum("n_links").alias("n_links"))
     found = linked.join(kept.withColumnRenamed("doc", "kept_doc"), F.col("doc").eqNullSafe(F.col("kept_doc")), "left").drop("kept_doc")
-    count = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(F.translate(x, "\t\r\x0b\f", "    ")) != ""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"))
+    count = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"))
     zero = F.lit(0).cast("long")
     return rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")), "left").select("doc_id", "n_lines", *[F.coalesce(c, zero).alias(c) for c in ("n_kept", "n_first", "n_links")])
 

@@ -80,6 +80,23 @@ CASE WHEN page_id = m THEN NULL ELSE m END AS refers_to FROM d
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE occ AS (SELECT doc_id, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)),
+d AS (SELECT l, min(doc_id) AS first_doc FROM occ WHERE l <> '' GROUP BY l),
+able AS (SELECT l, length(l) AS n, substr(l, 1, length(l) // 2) AS h, substr(l, length(l) // 2 + 2) AS t FROM d WHERE length(l) >= 16),
+near AS (SELECT a.l AS a, b.l AS b FROM able a JOIN able b ON a.l <> b.l AND b.n BETWEEN a.n AND a.n + 1 AND substr(b.l, 1, a.n // 2) = a.h
+ UNION SELECT a.l, b.l FROM able a JOIN able b ON a.l <> b.l AND b.n BETWEEN a.n AND a.n + 1 AND right(b.l, a.n - a.n // 2) = right(a.l, a.n - a.n // 2)),
+half AS (SELECT a, b FROM near WHERE levenshtein(a, b) <= 1),
+link AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+keeper AS (SELECT d.l, least(d.first_doc, min(e.first_doc)) AS doc, least(d.l, min(r.b)) AS class FROM d LEFT JOIN reach r ON d.l = r.a LEFT JOIN d e ON e.l = r.b GROUP BY d.l, d.first_doc),
+kept AS (SELECT doc, count(DISTINCT class) AS n FROM keeper GROUP BY doc),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+f AS (SELECT first_doc, count(*) AS n, sum(coalesce(g.n, 0)) AS links FROM d LEFT JOIN degree g ON d.l = g.a GROUP BY first_doc)
+SELECT doc_id, CAST(coalesce(length(text) - length(replace(text, chr(10), '')) + 1, 0) AS BIGINT) AS n_lines, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_kept, CAST(coalesce(f.n, 0) AS BIGINT) AS n_first, CAST(coalesce(links, 0) AS BIGINT) AS n_links
+FROM documents LEFT JOIN kept ON doc_id = kept.doc LEFT JOIN f ON doc_id = f.first_doc
+"""
+
 #: The permutation and the order of documents are the operator's, in DuckDB's terms.
 _SCATTER = "(((((({x}) % 2147483647 + 2147483647) % 2147483647) * 48271 + 11) % 2147483647 * 69621 + 12345) % 2147483647)"
 
@@ -109,4 +126,4 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE si
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL, "op7_mixing": OP7_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
