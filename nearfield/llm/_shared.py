@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import shutil
 import tempfile
 import uuid
@@ -71,24 +72,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def id_bounds(df: DataFrame, column: str, rows: int) -> list[int]:
-    """Ascending ids that cut the table into ranges of about `rows` rows each.
+def range_of(column: Column, bounds: list[int]) -> Column:
+    """The number of the range that holds an id, by binary search; null ids are in range 0.
 
-    Reads the id column only. The list has one entry per range, so it grows as the number of
-    partitions does, not as the rows.
+    Range i begins at bounds[i - 1]. The bounds are one constant of the plan, eight bytes a range.
     """
-    n = df.count()
-    k = max(1, -(-n // rows))
-    if k == 1:
-        return []
-    cuts = df.stat.approxQuantile(column, [i / k for i in range(1, k)], min(0.01, 0.2 / k))
-    return sorted({int(x) for x in cuts})
-
-
-def range_of(column: Column, bounds: list[int]) -> Column:
-    """The number of the id range that holds a value; null ids are in the first one."""
     if not bounds:
         return F.lit(0)
-    array = F.array(*[F.lit(b).cast("long") for b in bounds])
-    found = F.size(F.filter(array, lambda b: b <= column.cast("long")))
-    return F.coalesce(found, F.lit(0))
+    known = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    bits = F.sequence(F.lit(len(bounds).bit_length() - 1), F.lit(0), F.lit(-1))
+
+    def step(low: Column, bit: Column) -> Column:
+        high = low + F.call_function("shiftleft", F.lit(1), bit)
+        return F.when((high <= len(bounds)) & (F.get(known, high - 1) <= column.cast("long")), high).otherwise(low)
+
+    return F.aggregate(bits, F.lit(0), step)
+
+
+def id_ranges(df: DataFrame, column: str, rows: int) -> tuple[list[int], int | None]:
+    """Bounds that cut the ids into ranges of about `rows` rows each, and the least id (None if some are null).
+
+    Every range has rows, and each bound is the least id of its range. Reads the id column only; the
+    driver gets one row a range, which are as many as partitions.
+    """
+    ids = df.select(F.col(column).cast("long").alias("id"))
+    n = ids.count()
+    k = max(1, -(-n // rows))
+    cuts = ids.stat.approxQuantile("id", [i / k for i in range(1, k)], min(0.01, 0.2 / k)) if k > 1 else []
+    part = range_of(F.col("id"), sorted({int(x) for x in cuts})).alias("part")
+    found = sorted(tuple(r) for r in ids.groupBy(part).agg(F.min("id").alias("least"), F.count_if(F.col("id").isNull()).alias("nulls")).collect())
+    if not found:
+        return [], None
+    bounds = [least for _, least, _ in found[1:]]
+    _, least, nulls = found[0]
+    return bounds, None if nulls else least

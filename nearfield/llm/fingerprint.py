@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm._shared import arrow_batches, id_bounds, range_of
+from nearfield.llm._shared import arrow_batches, id_ranges, range_of
 
 #: Code points of a k-mer, k-mers of a tuple, tuples of a fingerprint, bytes kept of each tuple's hash.
 K, TUPLE, BINS, KEPT = 16, 2, 64, 3
@@ -121,23 +122,18 @@ def with_next(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     Only one shuffle moves texts. What it needs of the table beforehand are the ids alone: the bounds of the
     ranges and the least id in each. Null ids come first; equal ids are in the order of their texts.
     """
-    bounds = id_bounds(docs, "doc_id", rows)
+    bounds, least = id_ranges(docs, "doc_id", rows)
+    ranges = len(bounds) + 1
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     placed = placed.withColumn("part", range_of(F.col("doc_id"), bounds))
-    # One row a range, as many as partitions.
-    first = sorted((r["part"], r["id"], r["nulls"]) for r in placed.groupBy("part").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("id"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect())
-    parts = [p for p, _, _ in first]
-    dense = F.create_map(*[x for i, p in enumerate(parts) for x in (F.lit(p), F.lit(i))]) if parts else None
-    if not parts:
-        return placed.withColumn("ahead", F.lit(False))
-    placed = placed.withColumn("part", dense[F.col("part")])
+    # A document that may be the first of its range goes to the range before as well; the last is before the first.
+    leads = F.from_json(F.lit(json.dumps([least, *bounds])), "array<bigint>")
     copies = F.array(F.struct(F.col("part"), F.lit(False).alias("ahead")))
-    leads = F.create_map(*[x for i, (_, least, nulls) in enumerate(first) for x in (F.lit(i), F.lit(None).cast("long") if nulls else F.lit(least))])
-    is_lead = F.col("doc_id").eqNullSafe(leads[F.col("part")])
-    before = F.pmod(F.col("part") + len(parts) - 1, F.lit(len(parts))).cast("int")
-    copies = F.when(is_lead, F.concat(copies, F.array(F.struct(before.alias("part"), F.lit(True).alias("ahead"))))).otherwise(copies)
+    before = F.pmod(F.col("part") + (ranges - 1), F.lit(ranges)).cast("int")
+    ahead = F.array(F.struct(before.alias("part"), F.lit(True).alias("ahead")))
+    copies = F.when(F.col("doc_id").eqNullSafe(F.get(leads, F.col("part"))), F.concat(copies, ahead)).otherwise(copies)
     dealt = placed.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", "c.part", "c.ahead")
-    return dealt.repartitionById(len(parts), F.col("part")).sortWithinPartitions("ahead", F.col("doc_id").asc_nulls_first(), "text")
+    return dealt.repartitionById(ranges, F.col("part")).sortWithinPartitions("ahead", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearfield.llm._files import read_files, write_records
-from nearfield.llm._shared import arrow_batches, id_bounds, new_path, range_of, stage
+from nearfield.llm._shared import arrow_batches, id_ranges, new_path, range_of, stage
 
 #: Fixed by the format: ids of a word by selector, bits of each, end mark of a record.
 COUNTS = np.array([1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -226,7 +226,7 @@ def encoder(name: str) -> Encoder:
 def write(docs: DataFrame, path: str, *, tokenizer: str = TOKENIZER, end_id: int = END_ID, rows: int = RANGE_ROWS) -> None:
     """Encodes the texts and writes the files. Texts are shuffled once, by range of id."""
     arrow_batches(docs.sparkSession)
-    bounds = id_bounds(docs, "doc_id", rows)
+    bounds, _ = id_ranges(docs, "doc_id", rows)
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), range_of(F.col("doc_id"), bounds).alias("part"))
     dealt = placed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
