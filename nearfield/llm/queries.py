@@ -80,6 +80,19 @@ CASE WHEN page_id = m THEN NULL ELSE m END AS refers_to FROM d
 """
 
 
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+half AS (SELECT a, b FROM met JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+link AS (SELECT a, b FROM half UNION SELECT b, a FROM half),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id, least(d.doc_id, coalesce(b, d.doc_id)) = d.doc_id AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN least_of ON d.doc_id = a
+"""
+
 OP6_SQL = r"""
 WITH RECURSIVE occ AS (SELECT doc_id, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)),
 d AS (SELECT l, min(doc_id) AS first_doc FROM occ WHERE l <> '' GROUP BY l),
@@ -126,4 +139,4 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE si
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_warc": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op6_line_dedup": OP6_SQL, "op7_mixing": OP7_SQL}
