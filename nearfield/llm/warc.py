@@ -68,6 +68,7 @@ def plan(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     rows = rows.withColumn("digest", sha1_base32(F.col("payload"))).withColumn("n_bytes", F.octet_length("payload").cast("long"))
     # Only digests that several rows share need the join.
     shared = rows.select("page_id", "digest", "n_bytes").where(F.col("n_bytes") >= least_revisit).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("response")).where("n > 1").select("digest", "response")
+    shared = stage(shared, "warc-shared")  # read from files, the join has two plain exchanges, which AQE can split
     refers = F.when(F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
     return rows.join(shared, "digest", "left").withColumn("refers_to", refers).drop("response")
 
@@ -208,6 +209,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     right = rows.withColumn("own", F.when(F.col("kind") != "response", F.col("own")).when(F.col("own.digest") == F.col("digest"), F.col("own")).otherwise(wrong))
     named = right.where("kind = 'revisit'").alias("v")
     found = right.where("kind = 'response' and page_id is not null").groupBy(F.col("page_id").alias("response"), F.col("digest").alias("of")).agg(F.first("own").alias("seen"))
+    found = stage(found, "warc-responses")
     resolved = named.join(found, (F.col("refers_to") == F.col("response")) & (F.col("digest") == F.col("of")), "left").select("page_id", F.col("seen").alias("own"), "kind", "refers_to")
     both = right.where("kind = 'response'").select("page_id", "own", "kind", "refers_to").unionByName(resolved)
     return both.select("page_id", F.col("own.bytes").alias("payload_bytes"), F.col("own.digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
