@@ -236,8 +236,8 @@ def links(docs: DataFrame, lines: DataFrame, edits: int = EDITS, least: int = LE
     pairs = stage(candidates(lines, edits), "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id.h1", "id.h2")
     wanted = stage(wanted, "line-wanted")
-    # Copies go before the shuffle of the join.
-    texts = _picked(occurrences(docs), wanted).distinct().join(wanted, ["h1", "h2"], "left_semi")
+    # Copies go before the shuffle of the join. A semi join would be moved below the bitmap, so this is an inner one.
+    texts = _picked(occurrences(docs), wanted).distinct().join(wanted, ["h1", "h2"])
     texts = stage(texts.select(F.struct("h1", "h2").alias("id"), "line"), "line-texts")
     for side in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(f"{side}_id"), F.col("line").alias(f"{side}_line")), F.col(side) == F.col(f"{side}_id"))
