@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,11 @@ class IvfIndex:
     def search_batch(self, queries: DataFrame, k: int, metric: str | Distance = Metric.COSINE) -> DataFrame:
         """Joins queries and records on the cell; each query meets the records of its cells alone."""
         lean = IvfIndex(None, self.centroids, self.sizes, self.params)  # without the DataFrame, which stays on the driver
-        probe = F.udf(lambda q: lean.cells(q, k), "array<int>")
+
+        @F.pandas_udf("array<int>")
+        def probe(vectors: pd.Series) -> pd.Series:
+            return vectors.map(lambda q: lean.cells(q, k))
+
         wanted = queries.select("query_id", "query_vector", F.explode(probe("query_vector")).alias("cell"))
         met = self.df.join(wanted, "cell").withColumn("distance", distance(metric, F.col("vector"), F.col("query_vector")))
         return knn._ranked(met.select("query_id", "id", "distance"), k, "query_id", "id")
