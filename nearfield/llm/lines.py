@@ -256,18 +256,31 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Dat
     return rows.select(F.struct("h1", "h2").alias("id"), "first_doc", "copies", F.coalesce("label", F.struct("h1", "h2")).alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _keepers(docs: DataFrame, edits: int, least: int) -> DataFrame:
+    """One row a distinct line: h1, h2, class, n_links and keeper, the least doc_id that holds a line of its class."""
+    classes = stage(line_classes(docs, edits, least).select("id.h1", "id.h2", "class", "first_doc", "n_links"), "line-classes")
+    firsts = stage(classes.groupBy(F.col("class").alias("of")).agg(F.min("first_doc").alias("keeper")), "line-firsts")
+    return stage(classes.join(firsts, F.col("class") == F.col("of")).select("h1", "h2", "class", "n_links", "keeper"), "line-keepers")
+
+
 def summary(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """One row per document: doc_id, n_lines (line feeds and one), n_kept (lines that are the first of
-    their class), n_first (distinct lines first seen in it), n_links (links of those)."""
-    classes = stage(line_classes(docs, edits, least), "line-classes")
-    first = classes.groupBy("class").agg(F.min("first_doc").alias("doc"))
-    kept = first.groupBy("doc").agg(F.count("*").alias("n_kept"))
-    linked = classes.groupBy(F.col("first_doc").alias("doc")).agg(F.count("*").alias("n_first"), F.sum("n_links").alias("n_links"))
-    found = linked.join(kept.withColumnRenamed("doc", "kept_doc"), F.col("doc").eqNullSafe(F.col("kept_doc")), "left").drop("kept_doc")
+    """One row per document.
+
+    doc_id, n_lines (line feeds and one), n_kept (lines that are the first of their class), class_id (the least
+    doc_id that holds a line of the class of one of its lines, itself included), n_links (links of its lines,
+    each as often as it stands there).
+    """
+    keepers = _keepers(docs, edits, least)
+    kept = keepers.select("class", "keeper").distinct().groupBy("keeper").agg(F.count("*").alias("n_kept"))
+    # A very common line meets one row in this join, which AQE splits.
+    met = occurrences(docs).select("doc_id", "h1", "h2").join(keepers.select("h1", "h2", "n_links", F.col("keeper").alias("first")), ["h1", "h2"])
+    found = met.groupBy(F.col("doc_id").alias("doc")).agg(F.min("first").alias("class_id"), F.sum("n_links").alias("n_links"))
+    found = found.join(kept, F.col("doc").eqNullSafe(F.col("keeper")), "left").drop("keeper")
     count = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"))
     zero = F.lit(0).cast("long")
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")), "left").select("doc_id", "n_lines", *[F.coalesce(c, zero).alias(c) for c in ("n_kept", "n_first", "n_links")])
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
+    return rows.select("doc_id", "n_lines", F.coalesce("n_kept", zero).alias("n_kept"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -275,9 +288,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
 
     Rows that share a doc_id should be told apart before.
     """
-    classes = stage(line_classes(docs, edits, least).select("id.h1", "id.h2", "class", "first_doc"), "line-classes")
-    firsts = stage(classes.groupBy("class").agg(F.min("first_doc").alias("keeper")), "line-firsts")
-    named = stage(classes.join(firsts, "class").select("h1", "h2", "class", "keeper"), "line-keepers")
+    named = _keepers(docs, edits, least).select("h1", "h2", "class", "keeper")
     rows = occurrences(docs).select("doc_id", "pos", "h1", "h2").join(named, ["h1", "h2"])
     # Of the class's lines in the document that keeps it, the first stays. Only lines that go are brought together.
     mine = rows.where(F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "class").agg(F.min("pos").alias("stays"))

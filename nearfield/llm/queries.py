@@ -105,9 +105,10 @@ reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l O
 keeper AS (SELECT d.l, least(d.first_doc, min(e.first_doc)) AS doc, least(d.l, min(r.b)) AS class FROM d LEFT JOIN reach r ON d.l = r.a LEFT JOIN d e ON e.l = r.b GROUP BY d.l, d.first_doc),
 kept AS (SELECT doc, count(DISTINCT class) AS n FROM keeper GROUP BY doc),
 degree AS (SELECT a, count(*) AS n FROM link GROUP BY a),
-f AS (SELECT first_doc, count(*) AS n, sum(coalesce(g.n, 0)) AS links FROM d LEFT JOIN degree g ON d.l = g.a GROUP BY first_doc)
-SELECT doc_id, CAST(coalesce(length(text) - length(replace(text, chr(10), '')) + 1, 0) AS BIGINT) AS n_lines, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_kept, CAST(coalesce(f.n, 0) AS BIGINT) AS n_first, CAST(coalesce(links, 0) AS BIGINT) AS n_links
-FROM documents LEFT JOIN kept ON doc_id = kept.doc LEFT JOIN f ON doc_id = f.first_doc
+owner AS (SELECT class, min(doc) AS doc FROM keeper GROUP BY class),
+f AS (SELECT o.doc_id, min(w.doc) AS class_id, sum(coalesce(g.n, 0)) AS links FROM occ o JOIN keeper k ON o.l = k.l JOIN owner w ON k.class = w.class LEFT JOIN degree g ON o.l = g.a GROUP BY o.doc_id)
+SELECT d.doc_id, CAST(coalesce(length(text) - length(replace(text, chr(10), '')) + 1, 0) AS BIGINT) AS n_lines, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_kept, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc LEFT JOIN f ON d.doc_id = f.doc_id
 """
 
 #: The permutation and the order of documents are the operator's, in DuckDB's terms.

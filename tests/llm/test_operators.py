@@ -325,7 +325,14 @@ def plain_lines(table):
     for x in first:
         keeper[root(x)] = min(keeper.get(root(x), first[x]), first[x], key=rank)
     kept = Counter(keeper.values())
-    return [(doc, 0 if text is None else text.count("\n") + 1, kept[doc], sum(first[x] == doc for x in first), sum(degree[x] for x in first if first[x] == doc)) for doc, text in table]
+    held = {}
+    for doc, line in occ:
+        held.setdefault(doc, []).append(line)
+    out = []
+    for doc, text in table:
+        keepers = [k for x in held.get(doc, []) if (k := keeper[root(x)]) is not None]
+        out.append((doc, 0 if text is None else text.count("\n") + 1, kept[doc], min(keepers, default=doc), sum(degree[x] for x in held.get(doc, []))))
+    return out
 
 
 def test_line_dedup(spark):
