@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from nearfield.llm._shared import arrow_batches
 
-#: Words of a window, and the words (so windows at most, some 100 bytes each) that a broadcast may hold.
-WINDOW, MAX_WINDOWS = 8, 2_000_000
+#: Words of a window, and the words (so windows at most, some 500 bytes each in a worker) that a broadcast may hold.
+WINDOW, MAX_WINDOWS = 8, 200_000
 #: Items from which a document counts as contaminated.
 MIN_ITEMS = 2
 
