@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from nearfield.errors import DimensionMismatch
 from nearfield.functions.metrics import Distance, Metric, cosine, distance, norm, vector
 
-#: Queries that are sent to all tasks at once; bytes of the distances of one batch.
-QUERY_BLOCK, GRID_BYTES = 1024, 32 << 20
+#: Bytes of the queries that are sent to all tasks at once; bytes of the distances of one batch.
+QUERY_BYTES, GRID_BYTES = 16 << 20, 32 << 20
 #: Queries up to which the expression path may broadcast them.
 BROADCAST_QUERIES = 10_000
 #: A k over this is cut to the number of records beforehand.
@@ -83,7 +83,7 @@ def _query_blocks(queries: DataFrame, query_id: str, query_vector: str) -> Itera
     for r in queries.select(query_id, query_vector).toLocalIterator():
         ids.append(r[0])
         rows.append(r[1])
-        if len(ids) == QUERY_BLOCK:
+        if 8 * len(ids) * max(1, len(r[1])) >= QUERY_BYTES:
             yield ids, _grid(rows)
             ids, rows = [], []
     if ids:
@@ -125,6 +125,27 @@ def _exact(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
     return np.array([distances(a[None], b[None], metric)[0, 0] for a, b in zip(x, q, strict=True)])
 
 
+def _k_least(d: np.ndarray, k: int, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what may be among the k least of each column.
+
+    Distances within rounding of the k-th are kept for the window to decide, unless they are many: ties
+    beyond that are broken by id here, so that a batch sends a few times k rows a query at most.
+    """
+    if not k:
+        return np.zeros(0, int), np.zeros(0, int)
+    cut = np.partition(d, k - 1, axis=0)[k - 1]
+    near = ~(d > cut + 1e-7 * (1 + np.abs(cut)))
+    many = np.flatnonzero(near.sum(0) > 4 * k + 16)
+    if len(many):
+        rank = np.argsort(np.argsort(np.array(ids.to_pylist()), kind="stable"), kind="stable")
+        for j in many:
+            rows = np.flatnonzero(near[:, j])
+            rounded = np.round(d[rows, j], 12)
+            near[:, j] = False
+            near[rows[np.lexsort((rank[rows], rounded))[: 4 * k + 16]], j] = True
+    return np.nonzero(near)
+
+
 def _block(records: DataFrame, ids: list, grid: np.ndarray, k: int, metric: Metric, id_column: str, vector_column: str, query_id: str, query_kind: str) -> DataFrame:
     shared = records.sparkSession.sparkContext.broadcast(grid)
     id_kind = dict(records.dtypes)[id_column]
@@ -140,15 +161,13 @@ def _block(records: DataFrame, ids: list, grid: np.ndarray, k: int, metric: Metr
                 if x.shape[1] != q.shape[1]:
                     raise DimensionMismatch(x.shape[1], q.shape[1])
                 d = distances(x, q, metric)
-                # All that might be among the k best, ties and rounding included; the window decides.
-                cut = np.partition(d, min(k, len(d)) - 1, axis=0)[min(k, len(d)) - 1] if k else np.full(len(q), -np.inf)
-                i, j = np.nonzero(~(d > cut + 1e-7 * (1 + np.abs(cut))))
+                i, j = _k_least(d, min(k, len(d)), batch.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), batch.column(0).take(pa.array(i)), pa.array(_exact(x[i], q[j], metric) if metric == Metric.EUCLIDEAN else d[i, j], pa.float64())], names=["_query", id_column, "distance"])
 
     lean = records.where(F.col(vector_column).isNotNull()).select(id_column, F.col(vector_column).cast("array<double>").alias(vector_column))
     found = _ranked(lean.mapInArrow(run, f"_query int, `{id_column}` {id_kind}, distance double"), k, "_query", id_column)
     names = records.sparkSession.createDataFrame(list(enumerate(ids)), T.StructType([T.StructField("_query", T.IntegerType()), T.StructField(query_id, T._parse_datatype_string(query_kind))]))
-    return found.join(F.broadcast(names), "_query").select(query_id, id_column, "distance", "rank")  # QUERY_BLOCK rows
+    return found.join(F.broadcast(names), "_query").select(query_id, id_column, "distance", "rank")  # the queries of one block
 
 
 def with_norm(records: DataFrame, vector_column: str = "vector") -> DataFrame:
