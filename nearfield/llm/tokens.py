@@ -72,16 +72,18 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rest = count - power
         fits = np.maximum(widest[:, :BLOCK], widest[:, rest : rest + BLOCK]) <= bits
         np.copyto(best, np.uint8(s), where=fits)
-    steps = COUNTS[best.ravel()].tolist()
-    at: list[int] = []
-    begins = []
-    for start in range(0, n, BLOCK):
-        begins.append(len(at))
-        i, stop = start, min(start + BLOCK, n)
-        while i < stop:
-            at.append(i)
-            i += steps[i]
-    first = np.array(at, np.int64)
+    # All blocks step from word to word together.
+    steps = COUNTS[best.ravel()]
+    now = np.arange(blocks) * BLOCK
+    stop = np.minimum(now + BLOCK, n)
+    grid = []
+    while (live := now < stop).any():
+        grid.append(np.where(live, now, -1))
+        now = np.where(live, np.minimum(now + steps[np.minimum(now, blocks * BLOCK - 1)], stop), now)
+    first = np.stack(grid, 1) if grid else np.zeros((0, 0), np.int64)
+    held = (first >= 0).sum(1)
+    begins = np.cumsum(held) - held
+    first = first[first >= 0]
     edge = np.minimum((first // BLOCK + 1) * BLOCK, n)
     chosen = best.ravel()[first]
     words = np.zeros(len(first), np.uint64)
@@ -96,7 +98,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             for k in range(COUNTS[s]):
                 word |= np.where(begin + k < end, padded[begin + k], np.uint64(0)) << np.uint64(k * BITS[s])
             words[rows] = word
-    return words, np.array(begins, np.int64), escaped
+    return words, begins.astype(np.int64), escaped
 
 
 def unpack(words: np.ndarray, begins: np.ndarray, escaped: np.ndarray, n: int) -> np.ndarray:
