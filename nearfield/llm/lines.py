@@ -173,8 +173,9 @@ def distance(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line and its two hashes for every line that is not blank."""
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = split.select("doc_id", "pos", F.btrim("line", F.lit(" \t\r\x0b\f")).alias("line")).where("line != ''")
+    # Trimmed inside the array, lines are trimmed once; behind the explode each use would trim again.
+    trimmed = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\f")))
+    line = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(trimmed).alias("pos", "line")).where("line != ''")
     return line.select("doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
