@@ -14,7 +14,7 @@ comparison; hub rounds go on while they make the other pairs markedly fewer. The
 a bucket under different labels are compared, sketches inside the join, so that only pairs that pass
 leave it, and no link that a bucket holds is missed.
 
-Two sets at the threshold share no band with probability (1 - 0.85**4)**20 = 4e-7.
+Two sets at a threshold of 0.85 share no band with probability (1 - 0.85**4)**20 = 4e-7; at 0.8, with 3e-5.
 
 Defined results. Null, empty and blank texts have no shingles and are linked with nothing; neither
 are rows with a null doc_id, whose component is null and which are kept. Rows that share a doc_id are
@@ -34,16 +34,16 @@ from pyspark.sql import functions as F
 from nearfield.llm._shared import arrow_batches, drop_staged, stage
 from nearfield.llm.components import components
 
-#: Words of a shingle; link if 100 * intersection >= LINK * union.
+#: Words of a shingle; link if 100 * intersection >= link * union, with LINK where nothing else is said (op5).
 SHINGLE, LINK = 5, 85
 #: Bands and rows of the buckets; shingles that are folded whole; samples of larger sets; bits of a sketch.
 BANDS, ROWS, WHOLE, SAMPLES, SKETCH_BITS = 20, 4, 1024, 400, 1024
 
 
-def most_bits(samples: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
+def most_bits(samples: int = SAMPLES, bits: int = SKETCH_BITS, link: int = LINK) -> int:
     """Bits that the sketches of two sampled sets at the threshold may differ in: the mean for six
     standard deviations more differing samples than expected, and four deviations of the bits."""
-    share = LINK / 100
+    share = link / 100
     different = samples * (1 - share) + 6 * (samples * share * (1 - share)) ** 0.5
     mean = bits / 2 * (1 - (1 - 2 / bits) ** (2 * different))
     return round(mean + 4 * mean**0.5)
@@ -158,24 +158,24 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "class_key binary, n long, sketch array<long>, shingles array<long>")
 
 
-def _alike(a: str, b: str) -> Column:
+def _alike(a: str, b: str, link: int) -> Column:
     """Whether two classes may be linked by their sizes and sketches: columns n and sketch with these prefixes."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
     bits = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    # Linked sets of n and m elements differ in (100 - LINK) * (n + m) / (100 + LINK) at most.
-    limit = F.when(F.greatest(n, m) <= WHOLE, F.floor((100 - LINK) * (n + m) / (100 + LINK))).when(F.least(n, m) > WHOLE, F.lit(most_bits())).otherwise(F.lit(SKETCH_BITS))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * LINK) & (bits <= limit)
+    # Linked sets of n and m elements differ in (100 - link) * (n + m) / (100 + link) at most.
+    limit = F.when(F.greatest(n, m) <= WHOLE, F.floor((100 - link) * (n + m) / (100 + link))).when(F.least(n, m) > WHOLE, F.lit(most_bits(link=link))).otherwise(F.lit(SKETCH_BITS))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * link) & (bits <= limit)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets."""
     for side in ("b", "a"):
         pairs = pairs.join(sets.select(F.col("class_key").alias(f"{side}_key"), F.col("shingles").alias(f"{side}_set")), F.col(side) == F.col(f"{side}_key"))
     both = F.size(F.array_intersect("a_set", "b_set"))
-    return pairs.where(both * 100 >= (F.size("a_set") + F.size("b_set") - both) * LINK).select("a", "b").distinct()
+    return pairs.where(both * 100 >= (F.size("a_set") + F.size("b_set") - both) * link).select("a", "b").distinct()
 
 
-def _hub_pairs(entries: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+def _hub_pairs(entries: DataFrame, sets: DataFrame, turn: int, link: int) -> DataFrame:
     """Each member of a bucket with the bucket's hub, if they have different labels and may be alike.
 
     `entries` has bucket, node, label.
@@ -186,10 +186,10 @@ def _hub_pairs(entries: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     pairs = entries.join(hubs, F.col("bucket") == F.col("of")).where("label != hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     for side in ("b", "a"):
         pairs = pairs.join(sets.select(F.col("class_key").alias(f"{side}_key"), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), F.col(side) == F.col(f"{side}_key")).drop(f"{side}_key")
-    return pairs.where(_alike("a_", "b_")).select("a", "b")
+    return pairs.where(_alike("a_", "b_", link)).select("a", "b")
 
 
-def _all_pairs(entries: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+def _all_pairs(entries: DataFrame, sets: DataFrame, nodes: DataFrame, link: int) -> DataFrame:
     """All pairs of a bucket's members with different labels that may be alike.
 
     The sketches are compared inside the join, and a pair leaves it in the first of its common buckets only.
@@ -200,7 +200,7 @@ def _all_pairs(entries: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFra
     a, b = (full.select(*[F.col(c).alias(f"{side}_{c}") for c in full.columns]) for side in "ab")
     differ = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
     once = F.element_at(F.array_intersect("a_bands", "b_bands"), 1) == F.col("a_bucket")
-    met = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & differ & _alike("a_", "b_") & once)
+    met = a.join(b, (F.col("a_bucket") == F.col("b_bucket")) & differ & _alike("a_", "b_", link) & once)
     return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
@@ -224,19 +224,19 @@ def _open(entries: DataFrame) -> tuple[DataFrame, int]:
     return known.join(sizes.select("of"), F.col("bucket") == F.col("of")).drop("of"), int(pairs)
 
 
-def _links(opened: DataFrame, pairs: int, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+def _links(opened: DataFrame, pairs: int, sets: DataFrame, nodes: DataFrame, link: int) -> DataFrame:
     """Links that connect all classes which the links of all buckets connect."""
     links = None
     for turn in range(MOST_ROUNDS):
-        found = stage(_confirmed(_hub_pairs(opened, sets, turn), sets), "nd-links")
+        found = stage(_confirmed(_hub_pairs(opened, sets, turn, link), sets, link), "nd-links")
         links = found if links is None else links.unionByName(found)
         before, (opened, pairs) = pairs, _open(_relabelled(opened, found))
         if pairs > WORTH * before or not pairs:
             break
-    return links.unionByName(stage(_confirmed(_all_pairs(opened, sets, nodes), sets), "nd-links")) if pairs else links
+    return links.unionByName(stage(_confirmed(_all_pairs(opened, sets, nodes, link), sets, link), "nd-links")) if pairs else links
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, link: int = LINK) -> tuple[DataFrame, DataFrame]:
     """The profile of each document, and (class_key, component): the least doc_id that a class is linked with."""
     profile = stage(profiles(docs), "nd-profiles")
     usable = profile.where("class_key is not null and doc_id is not null")
@@ -250,7 +250,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = known.join(opened.select("node").distinct(), F.col("class_key") == F.col("node"), "left_semi").select(F.col("rep").alias("id"))
     texts = docs.select("doc_id", "text")
     sets = stage(shingle_sets(texts.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")), "nd-sets")
-    labels = stage(components(_links(opened, pairs, sets, nodes)), "nd-labels")
+    labels = stage(components(_links(opened, pairs, sets, nodes, link)), "nd-labels")
     drop_staged(sets)
     linked = known.join(labels, F.col("class_key") == F.col("node"))
     least = stage(linked.groupBy(F.col("component").alias("of")).agg(F.min("rep").alias("least")), "nd-least")
@@ -259,16 +259,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return profile, named.unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; see the contract of op5."""
-    profile, found = classes(docs)
+    profile, found = classes(docs, link)
     named = stage(found.select(F.col("class_key").alias("key"), "component"), "nd-classes")
     rows = profile.select("doc_id", "n_shingles", "class_key").join(named, F.col("class_key") == F.col("key"), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, link: int = LINK) -> DataFrame:
     """The documents that are kept: one of each component, the one with the least doc_id."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, link).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")

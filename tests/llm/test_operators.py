@@ -252,6 +252,23 @@ def test_near_duplicates(spark, odd):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_link_threshold_is_a_parameter(spark):
+    """Pairs between 0.80 and 0.85, of few shingles and of many, are linked at 80 and not at 85."""
+    table = []
+    for base, n in enumerate((60, 400, 3000)):
+        w = words(n, 300 + base, 90000).split()
+        other = list(w)
+        for k in range(n // 50):
+            other[30 + 50 * k] = f"e{k}"
+        table += [(10 * base, " ".join(w)), (10 * base + 1, " ".join(other))]
+    docs = documents(spark, table)
+    share = [len(a & b) / len(a | b) for a, b in ((set(neardup.Shingler().of(table[i][1].encode()).tolist()), set(neardup.Shingler().of(table[i + 1][1].encode()).tolist())) for i in (0, 2, 4))]
+    assert all(0.8 <= x < 0.85 for x in share)
+    assert sorted(r.doc_id for r in neardup.deduplicate(docs).collect()) == [0, 1, 10, 11, 20, 21]
+    assert sorted(r.doc_id for r in neardup.deduplicate(docs, 80).collect()) == [0, 10, 20]
+    assert neardup.most_bits(link=80) > neardup.most_bits()
+
+
 def test_large_group_needs_no_pairs(spark):
     """A group of near copies becomes one component; only a hub's links and those across labels are looked at."""
     rng = random.Random(9)
