@@ -34,6 +34,8 @@ WEIGHTS, MOST, BLOCK = (5, 2, 1), 3, 512
 LEAST_BLOCKS = 256
 #: Hash buckets of a source; slots of a shard, of a chunk; rounds of the permutation.
 BUCKETS, SHARD, CHUNK, ROUNDS = 4096, 1 << 16, 1 << 15, 16
+#: Parts of a whole that fractions of documents are counted in; hash buckets of a grade of size.
+UNIT, GRADE_BUCKETS = 1 << 20, 64
 
 _P = 2147483647
 
@@ -127,8 +129,8 @@ def laid_out(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return known.withColumn("inside", inside).join(base, ["sid", "bucket"]).withColumn("begin", F.col("base") + F.col("inside")).drop("base", "inside", "bucket")
 
 
-def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """What the mix takes of each document: the result of op7, one row per document."""
+def _shares(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """What the mix takes of each document, with the sid of its source."""
     rows = stage(sizes(docs), "mix-sizes")
     sources = stage(targets(rows, weights, most), "mix-sources")
     taken = slots(sources).groupBy("sid", "index").agg(F.count("*").alias("times"))
@@ -140,18 +142,47 @@ def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     met = parts.select("sid", "index", "begin", words.alias("words")).join(taken, ["sid", "index"])
     # A document with words is the only one that begins at its place.
     sums = met.groupBy("sid", "begin").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    result = ["doc_id", "size", "source_size", "target", "taken"]
+    result = ["sid", "doc_id", "size", "source_size", "target", "taken"]
     full = some.join(sums, ["sid", "begin"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).select(result)
     return full.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(result))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+def plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """What the mix takes of each document: the result of op7, one row per document."""
+    return _shares(docs, weights, most).drop("sid")
+
+
+def _copies(shares: DataFrame) -> DataFrame:
+    """doc_id and copies of documents with words: taken / size, rounded up in that share of cases which its fraction says.
+
+    The fractions of a source are laid end to end in order of size, and a document is rounded up if a
+    whole number, from a start drawn for the source, falls into its fraction. So each document is expected to
+    give the words taken of it, and what roundings add and drop cancels among documents of like size.
+    """
+    part = F.floor((F.col("taken") % F.col("size")) * UNIT / F.col("size")).cast("long")
+    # Grades of size, each in several buckets: running sums stay short, as in laid_out().
+    grade = F.floor(F.log2("size") * 8).cast("long") * GRADE_BUCKETS + scatter(F.coalesce("doc_id", F.lit(0))) % GRADE_BUCKETS
+    rows = stage(shares.where("size > 0").select("sid", "doc_id", "size", "taken", part.alias("part"), grade.alias("grade")), "mix-shares")
+    sums = rows.groupBy("sid", "grade").agg(F.sum("part").alias("n"))
+    base = sums.select("sid", "grade", (F.sum("n").over(W.partitionBy("sid").orderBy("grade")) - F.col("n")).alias("base"))
+    inside = F.sum("part").over(W.partitionBy("sid", "grade").orderBy("size", "doc_id", "taken").rowsBetween(W.unboundedPreceding, 0))
+    end = F.col("base") + F.col("inside") + scatter(F.col("sid") * 86028121 + 40503) % UNIT
+    up = F.floor(F.col("end") / UNIT) - F.floor((F.col("end") - F.col("part")) / UNIT)
+    placed = rows.withColumn("inside", inside).join(base, ["sid", "grade"]).withColumn("end", end)
+    return placed.select("doc_id", (F.floor(F.col("taken") / F.col("size")) + up).cast("int").alias("copies"))
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, nearest: bool = True) -> DataFrame:
     """The documents of the mix: each as often as the words taken of it fill it, to the nearest whole.
 
+    The nearest whole is 0 for nearly all long documents of a source of which less than half is taken. Without
+    `nearest`, copies are rounded up or down so that sources meet their targets with documents of every length.
+
     Documents that share a doc_id are taken as often as the largest share among them says.
     """
-    times = F.round(F.col("taken") / F.col("size")).cast("int")
-    chosen = plan(docs, weights=weights, most=most).where("size > 0").select(F.col("doc_id").alias("_key"), times.alias("_times")).groupBy("_key").agg(F.max("_times").alias("_times")).where("_times > 0")
+    if nearest:
+        shares = plan(docs, weights=weights, most=most).where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    else:
+        shares = _copies(_shares(docs, weights, most))
+    chosen = shares.groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").alias("_times")).where("_times > 0")
     return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_key"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
-
-

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from nearfield.llm import components, decontaminate, fingerprint, language, lines, mixing, neardup, quality, queries, tokens, unigram, warc
 from tests.llm.conftest import SCHEMA, documents, words
 from tests.oracle import rows, same
@@ -451,6 +452,26 @@ def test_mixing(spark, odd):
     assert mixing.plan(docs.limit(0)).count() == 0
 
 
+def test_stage_meets_targets_with_long_documents(spark):
+    """Words emitted a source, of all documents and of long ones, against the words taken."""
+    rng = random.Random(11)
+    length = lambda: rng.choice([rng.randrange(20, 300), rng.randrange(2000, 4000)])
+    docs = documents(spark, [(i, words(length(), i, 5000), "en", f"s{i % 3}") for i in range(600)])
+    mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SF)
+    copies = Counter(r.doc_id for r in mixed.select("doc_id").collect())
+    taken, got = Counter(), Counter()
+    for r in mixing.plan(docs).collect():
+        s = r.doc_id % 3
+        taken[s] += r.taken
+        got[s] += r.size * copies[r.doc_id]
+        if r.size >= 2000:
+            taken[s, "long"] += r.taken
+            got[s, "long"] += r.size * copies[r.doc_id]
+        assert r.taken // r.size <= copies[r.doc_id] <= -(-r.taken // r.size)
+    assert all(abs(got[k] - taken[k]) <= 0.05 * taken[k] for k in taken)
+    assert any(abs(taken[s] / sum(r.size for r in mixing.sizes(docs).where(f"source = 's{s}'").collect()) - 0.37) < 0.1 for s in range(3))
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 3, 100, 1000):
         df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"), F.lit(1).cast("long")).alias("x"))
