@@ -93,6 +93,19 @@ def test_language(spark):
     assert strange[1].rejected and strange[2].rejected and strange[3].lang_pred == strange[4].lang_pred == "und" and not strange[5].rejected
 
 
+def test_language_rejects_what_was_left_out(spark):
+    """Each language in turn is left out of training: nearly all of its texts go, hardly any of the others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("length(text) > 100 and lang is not null")
+    langs = sorted(r.lang for r in docs.select("lang").distinct().collect())
+    assert len(langs) > 2
+    for left_out in langs:
+        model = language.fit(docs.where(~language.held_out(F.col("doc_id")) & (F.col("lang") != left_out)))
+        got = language.classify(docs.where(language.held_out(F.col("doc_id")) | (F.col("lang") == left_out)), model).collect()
+        share = lambda rows: sum(r.rejected for r in rows) / len(rows)
+        assert share([r for r in got if r.lang == left_out]) >= 0.95, left_out
+        assert share([r for r in got if r.lang != left_out]) <= 0.02, left_out
+
+
 def test_language_odd(spark, odd):
     assert language.identify(odd).count() == odd.count()
     assert language.identify(odd.limit(0)).count() == 0
