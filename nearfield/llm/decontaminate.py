@@ -21,7 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm._shared import arrow_batches
@@ -163,7 +163,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, min_items: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     known = window_set(spark, benchmark, n, max_windows)
     if known is None:
-        return _scan_by_join(texts, benchmark, n, min_items)
+        return _scan_by_join(texts, benchmark, n, min_items).drop("row")
     shared = spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +204,14 @@ def _grams(texts: DataFrame, key: str, n: int, lengths: list[int], whole: bool)
     return texts.select(key, "text").mapInArrow(run, f"key {kind}, at long, length long, digest binary")
 
 
+def _row_key() -> Column:
+    """A row's id and the digest of its text, null-safe: rows that agree in both have one result."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")))
+
+
 def _scan_by_join(texts: DataFrame, benchmark: DataFrame, n: int, min_items: int) -> DataFrame:
     """The same result for a benchmark of any size; AQE splits windows that many documents hold."""
-    rows = texts.withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.md5("text"), F.lit("-"))))
+    rows = texts.withColumn("row", _row_key())
     items = _item_texts(benchmark)
     wanted = _grams(items, "item_id", n, [], True).select(F.col("key").alias("item_id"), "length", "digest").distinct()
     lengths = sorted(r[0] for r in wanted.select("length").distinct().collect())  # n at most
@@ -226,7 +231,7 @@ def _scan_by_join(texts: DataFrame, benchmark: DataFrame, n: int, min_items: int
     return counted.join(found, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.coalesce("items", F.array().cast("array<string>"))), ","), 256).alias("items_sha256"),
-        (n_items >= min_items).alias("contaminated"), F.coalesce("spans", F.array().cast("array<struct<first:long,after:long>>")).alias("spans"),
+        (n_items >= min_items).alias("contaminated"), F.coalesce("spans", F.array().cast("array<struct<first:long,after:long>>")).alias("spans"), "row",
     )
 
 
@@ -234,17 +239,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, min
     """The documents without contaminated ones; the others lose the hit spans. Columns stay as they are.
 
     Where the benchmark exceeds the broadcast bound, the spans come from the join and are brought
-    back to the documents by id.
+    back to the documents by id and text.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     known = window_set(spark, benchmark, n, max_windows)
     if known is None:
-        found = scan(docs, benchmark, n=n, min_items=min_items, max_windows=max_windows)
-        gone = found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-        spans = found.where("n_items > 0 and not contaminated").groupBy(F.col("doc_id").alias("_key")).agg(F.first("spans").alias("_spans"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+        # Rows of one key have equal texts, so any of their spans serves.
+        hit = _scan_by_join(texts, benchmark, n, min_items).where("n_items > 0").groupBy(F.col("row").alias("_key")).agg(F.max("contaminated").alias("_bad"), F.first("spans").alias("_spans"))
         cutter = F.udf(lambda t, s: cut(t, [(x["first"], x["after"]) for x in s]) if s else t, "string")
-        kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").join(spans, docs["doc_id"] == F.col("_key"), "left")
+        kept = docs.withColumn("_row", _row_key()).join(hit, F.col("_row") == F.col("_key"), "left").where("_bad is null or not _bad")
         return kept.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cutter("text", "_spans"))).select(*docs.columns)
     shared = spark.sparkContext.broadcast(known)
     at = docs.columns.index("text")

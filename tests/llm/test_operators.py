@@ -73,6 +73,18 @@ def test_decontamination(spark, odd, bound):
     assert decontaminate.scan(odd.limit(0), bench, max_windows=bound).count() == 0
 
 
+def test_both_bounds_clean_alike(spark):
+    """Null ids and ids that rows share: the join decides by id and text, like the broadcast."""
+    one, two, plain = words(12, 301), words(12, 302), words(30, 303, 3000)
+    bench = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    bad = f"{one} . {two}"
+    table = [(None, bad), (None, f"{plain} {one}"), (None, plain), (None, None), (5, bad), (5, plain), (6, f"{plain} {one} {plain}"), (6, "short"), (6, f"{two} {plain}"), (7, f"{one} end"), (7, f"{one} end"), (8, None)]
+    docs = documents(spark, table)
+    key = lambda r: tuple(map(str, r))
+    broadcast, joined = (sorted((tuple(r) for r in decontaminate.decontaminate(docs, bench, max_windows=bound).collect()), key=key) for bound in (decontaminate.MAX_WINDOWS, 0))
+    assert broadcast == joined and len(joined) == len(table) - 2
+
+
 def test_cut_removes_runs():
     assert decontaminate.cut("Keep this, DROP: that now. End", [(2, 4)]) == "Keep this,  now. End"
 
