@@ -7,6 +7,7 @@ import json
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def private(df: DataFrame) -> Callable[[str], str]:
+    """Makes names of columns that the table does not have, whatever its columns are called."""
+    mark = "_nf"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return lambda name: f"{mark}_{name}"
+
+
 def drop_staged(df: DataFrame) -> None:
     """Removes the files of a staged table that nothing reads any more."""
     jvm = df.sparkSession._jvm

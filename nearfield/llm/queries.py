@@ -111,29 +111,44 @@ SELECT d.doc_id, CAST(coalesce(length(text) - length(replace(text, chr(10), ''))
 FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc LEFT JOIN f ON d.doc_id = f.doc_id
 """
 
-#: The permutation and the order of documents are the operator's, in DuckDB's terms.
-_SCATTER = "(((((({x}) % 2147483647 + 2147483647) % 2147483647) * 48271 + 11) % 2147483647 * 69621 + 12345) % 2147483647)"
+#: The hash, the draw, the permutation and the order of documents are the operator's, in DuckDB's terms.
+def _scatter(x: str) -> str:
+    """mixing.scatter() of an expression that is not negative."""
+    return f"list_transform([{x}], lambda x: list_transform([(x % 2147483647 + x // 2147483647 % 2147483647 * 40692) % 2147483647], lambda u: list_transform([(u * 48271 + 11) % 2147483647], lambda v: ((v * v + u) % 2147483647 * 69621 + 12345) % 2147483647)[1])[1])[1]"
 
 
-def _scatter(x: str) -> str:
-    return _SCATTER.format(x=x)
+def _wide(x: str) -> str:
+    return f"({_scatter(x)} * 2147483648 + {_scatter(f'{x} + 1013904223')})"
 
 
-_KEY = _scatter("sid * 7919 + epochs * 104729 + i * 1299709")
+_KEY = _wide("sid * 7919 + epochs * 104729 + i * 1299709")
 OP7_SQL = rf"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS digest FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS sid FROM d GROUP BY source),
 s1 AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS cap FROM s0),
 s2 AS (SELECT *, cap / weight AS ratio FROM s1),
 s3 AS (SELECT *, row_number() OVER (ORDER BY ratio, sid) AS pos, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER (ORDER BY ratio, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy FROM s2),
 s4 AS (SELECT *, min(CASE WHEN rest / heavy < ratio THEN pos END) OVER () AS f FROM s3),
 s5 AS (SELECT *, max(CASE WHEN pos = f THEN rest END) OVER () AS r1, max(CASE WHEN pos = f THEN heavy END) OVER () AS h1 FROM s4),
-s6 AS (SELECT sid, source, source_size, CASE WHEN f IS NULL OR pos < f THEN CAST(cap AS DOUBLE) ELSE CAST(r1 * weight AS DOUBLE) / CAST(h1 AS DOUBLE) END AS target, greatest(1, least(512, source_size // 256)) AS block FROM s5),
-s7 AS (SELECT *, (source_size + block - 1) // block AS blocks, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS BIGINT)) ELSE 0 END AS epochs FROM s6),
-s8 AS (SELECT *, CASE WHEN epochs >= 3 THEN 0 ELSE greatest(0, least(blocks, CAST(floor((target - epochs * source_size) / block + 0.5) AS BIGINT))) END AS rest FROM s7),
-picked AS (SELECT sid, list_reduce(list_prepend(x, range(0, 16)), lambda a, i: CASE WHEN ({_scatter(f"greatest(a, ({_KEY} % blocks + blocks - a) % blocks) + {_KEY}")} // 1024) % 2 = 1 THEN ({_KEY} % blocks + blocks - a) % blocks ELSE a END) AS b FROM (SELECT *, unnest(range(0, rest)) AS x FROM s8)),
-p AS (SELECT d.doc_id, d.size, s8.*, sum(d.size) OVER (PARTITION BY sid ORDER BY {_scatter("coalesce(doc_id, 0)")} % 4096, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM d JOIN s8 ON d.source IS NOT DISTINCT FROM s8.source),
-o AS (SELECT sid, start, least(start + size, (b + 1) * block) - greatest(start, b * block) AS n, b FROM (SELECT *, unnest(range(CAST(start // block AS BIGINT), CAST((start + size - 1) // block + 1 AS BIGINT))) AS b FROM p WHERE size > 0)),
+s6 AS (SELECT sid, source, source_size, CASE WHEN f IS NULL OR pos < f THEN CAST(cap AS DOUBLE) ELSE CAST(r1 * weight AS DOUBLE) / CAST(h1 AS DOUBLE) END AS target, greatest(1, least(512, source_size // 1024)) AS block FROM s5),
+s7 AS (SELECT *, (source_size + block - 1) // block AS blocks, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS BIGINT)) ELSE 0 END AS full_epochs FROM s6),
+s8 AS (SELECT *, full_epochs * blocks * 256 + CASE WHEN full_epochs >= 3 THEN 0 ELSE CAST(floor((target - full_epochs * source_size) / block * 256) AS BIGINT) END AS units FROM s7),
+g0 AS (SELECT CAST(sum(units) AS BIGINT) AS u, (CAST(sum(units) AS BIGINT) + 255) // 256 AS slots FROM s8),
+g1 AS (SELECT *, (slots + 16383) // 16384 AS shards FROM g0 WHERE slots > 0),
+kind AS (SELECT u, 0 AS first, shards - 1 AS count, 16384 AS held FROM g1 WHERE shards > 1 UNION ALL SELECT u, shards - 1, 1, slots - (shards - 1) * 16384 FROM g1),
+part AS (SELECT kind.*, sid, units * held // u AS n, units * held % u AS fraction FROM kind, s8 WHERE units > 0),
+part1 AS (SELECT *, CAST(sum(fraction) OVER (PARTITION BY first ORDER BY sid) AS BIGINT) AS high FROM part),
+part2 AS (SELECT u, first, count, held - CAST(sum(n) AS BIGINT) AS open_slots FROM part GROUP BY u, first, count, held),
+draws0 AS (SELECT *, unnest(range(0, count * open_slots)) AS id FROM part2),
+draws1 AS (SELECT *, id // open_slots + first AS shard, id % open_slots AS i FROM draws0),
+draws AS (SELECT first, {_wide("shard * 15485863 + i * 32452843 + 49979687")} % (open_slots * u) AS x FROM draws1),
+hit AS (SELECT sid, count(*) AS n FROM draws JOIN part1 ON draws.first = part1.first AND x >= high - fraction AND x < high GROUP BY sid),
+total AS (SELECT sid, CAST(sum(n) AS BIGINT) AS n FROM (SELECT sid, n * count AS n FROM part UNION ALL SELECT sid, n FROM hit) GROUP BY sid),
+s9 AS (SELECT s8.*, least(3 * blocks, coalesce(n, 0)) // greatest(blocks, 1) AS epochs, least(3 * blocks, coalesce(n, 0)) % greatest(blocks, 1) AS extra_slots FROM s8 LEFT JOIN total USING (sid)),
+picked AS (SELECT sid, list_reduce(list_prepend(x, list_transform(range(0, 16), lambda i: {_KEY})), lambda a, k: CASE WHEN {_scatter("greatest(a, (k % blocks + blocks - a) % blocks) + k")} // 1024 % 2 = 1 THEN (k % blocks + blocks - a) % blocks ELSE a END) AS b FROM (SELECT *, unnest(range(0, extra_slots)) AS x FROM s9)),
+p0 AS (SELECT d.*, {_scatter("(coalesce(doc_id, 0) % 2147483647 + 2147483647) % 2147483647 + digest")} % 4096 AS bucket FROM d),
+p AS (SELECT p0.doc_id, p0.size, s9.*, CAST(sum(p0.size) OVER (PARTITION BY sid ORDER BY bucket, doc_id NULLS FIRST, size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS start FROM p0 JOIN s9 ON p0.source IS NOT DISTINCT FROM s9.source),
+o AS (SELECT sid, start, least(start + size, (b + 1) * block) - greatest(start, b * block) AS n, b FROM (SELECT *, unnest(range(start // block, (start + size - 1) // block + 1)) AS b FROM p WHERE size > 0)),
 t AS (SELECT sid, start, sum(n) AS extra FROM o JOIN picked USING (sid, b) GROUP BY ALL)
 SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE size * epochs + coalesce(extra, 0) END AS BIGINT) AS taken FROM p LEFT JOIN t USING (sid, start)
 """

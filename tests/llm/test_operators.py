@@ -470,46 +470,109 @@ def test_mixing(spark, odd):
         assert r.target == pytest.approx(target[s]) and r.source_size == by_source[s] and 0 <= r.taken <= 3 * r.size
         taken[s] += r.taken
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 1 for s in order)
-    mixed = mixing.mix(docs)
-    assert mixed.schema.names == docs.schema.names
-    copies = Counter(r.doc_id for r in mixed.select("doc_id").collect())
-    assert all(abs(copies[r.doc_id] - r.taken / r.size) <= 0.5 for r in got if r.size) and 0 < sum(size[i] * c for i, c in copies.items())
-    assert mixing.plan(docs.limit(0)).count() == 0
+    assert mixing.plan(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_stage_meets_targets_with_long_documents(spark):
-    """Words emitted a source, of all documents and of long ones, against the words taken."""
+def test_mix_gives_out_what_is_taken(spark):
+    """Words given out of each document are those taken of it, of long documents and short ones; passages are its own."""
     rng = random.Random(11)
     length = lambda: rng.choice([rng.randrange(20, 300), rng.randrange(2000, 4000)])
-    docs = documents(spark, [(i, words(length(), i, 5000), "en", f"s{i % 3}") for i in range(600)])
-    mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SF)
-    copies = Counter(r.doc_id for r in mixed.select("doc_id").collect())
-    taken, got = Counter(), Counter()
-    for r in mixing.plan(docs).collect():
-        s = r.doc_id % 3
-        taken[s] += r.taken
-        got[s] += r.size * copies[r.doc_id]
-        if r.size >= 2000:
-            taken[s, "long"] += r.taken
-            got[s, "long"] += r.size * copies[r.doc_id]
-        assert r.taken // r.size <= copies[r.doc_id] <= -(-r.taken // r.size)
-    assert all(abs(got[k] - taken[k]) <= 0.05 * taken[k] for k in taken)
-    assert any(abs(taken[s] / sum(r.size for r in mixing.sizes(docs).where(f"source = 's{s}'").collect()) - 0.37) < 0.1 for s in range(3))
+    text = {i: "\n".join(words(n, 7 * i + k, 5000) for k, n in enumerate((length(), 30))) for i in range(300)}
+    docs = documents(spark, [(i, t, "en", f"s{i % 3}") for i, t in text.items()])
+    for name in ("_key", "_copy", "_nf", "_nf_digest", "digest"):
+        docs = docs.withColumn(name, F.col("doc_id").cast("string"))
+    mixed = mixing.mix(docs)
+    assert mixed.schema.names == docs.schema.names
+    got, whole, part = Counter(), Counter(), 0
+    for r in mixed.collect():
+        got[r.doc_id] += len(r.text.split())
+        assert r["_nf_digest"] == r["_key"] == r["_copy"] == str(r.doc_id) and r.text in text[r.doc_id] and r.text == r.text.strip()
+        whole[r.doc_id] += r.text == text[r.doc_id]
+        part += r.text != text[r.doc_id]
+    shares = {r.doc_id: r for r in mixing.plan(docs).collect()}
+    assert {i: r.taken for i, r in shares.items() if r.taken} == dict(got) and part and any(whole.values())
+    size = Counter()
+    taken, target = Counter(), {}
+    for i, r in shares.items():
+        size[i % 3] += r.size
+        taken[i % 3] += got[i]
+        target[i % 3] = r.target
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in range(3)) and min(target[s] / size[s] for s in range(3)) < 0.5
+
+
+def test_mix_of_odd_rows(spark, odd):
+    """Repeated rows, null ids and null texts: words are those of the plan, by id and text."""
+    plan, got = Counter(), Counter()
+    texts = {}
+    for r in odd.collect():
+        texts.setdefault(r.doc_id, set()).add(r.text)
+    for r in mixing.plan(odd).collect():
+        plan[r.doc_id] += r.taken
+    for r in mixing.mix(odd).collect():
+        got[r.doc_id] += len(r.text.split())
+        assert any(t and r.text in t for t in texts[r.doc_id])
+    assert {k: n for k, n in plan.items() if n} == dict(got)
 
 
 def test_permutation_is_one(spark):
     for n in (1, 2, 3, 100, 1000):
-        df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long"), F.lit(1).cast("long")).alias("x"))
+        df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), mixing._keys(F.lit(3).cast("long"), F.lit(1).cast("long"))).alias("x"))
         got = [r.x for r in df.collect()]
         assert sorted(got) == list(range(n)) and (n < 100 or got != sorted(got))
 
 
-def test_shards_are_multinomial(spark):
-    docs = documents(spark, [(i, words(100, i), "en", f"s{i % 2}") for i in range(300)])
+def test_permutation_beyond_31_bits(spark):
+    n = 1 << 40
+    df = spark.range(4000).select(mixing.permuted(F.col("id") * 1000, F.lit(n).cast("long"), mixing._keys(F.lit(3).cast("long"), F.lit(1).cast("long"))).alias("x"))
+    got = np.array([r.x for r in df.collect()])
+    assert len(set(got.tolist())) == 4000 and got.min() >= 0 and got.max() < n
+    assert (np.histogram(got, 8, (0, n))[0] > 350).all()
+
+
+def shares_table(spark, units):
+    return spark.createDataFrame([(i, f"s{i}", u, 0.0, 1, 1 << 40, u) for i, u in enumerate(units)], "sid long, source string, source_size long, target double, block long, blocks long, units long")
+
+
+def test_shards_are_drawn(spark, monkeypatch):
+    """The whole parts are certain; the rest has the mean and the variance of a multinomial draw."""
+    monkeypatch.setattr(mixing, "SHARD", 10)
+    units = [u * mixing.UNIT * 25 for u in (270, 450, 155, 125)]
+    got = mixing.drawn(shares_table(spark, units)).collect()
+    shards = 25 * 100
+    n = np.zeros((shards, 4), int)
+    for r in got:
+        n[r.shard, r.sid] = r.n
+    assert (n.sum(1) == 10).all()
+    want = 10 * np.array([0.27, 0.45, 0.155, 0.125])
+    certain = np.floor(want)
+    assert (n >= certain).all()
+    rest, left = n - certain, 10 - certain.sum()
+    p = (want - certain) / left
+    assert left == 2 and np.allclose(rest.mean(0), left * p, atol=5 * np.sqrt(left * p * (1 - p) / shards))
+    assert np.allclose(rest.var(0), left * p * (1 - p), rtol=0.12)
+    assert np.cov(rest.T)[0, 1] == pytest.approx(-left * p[0] * p[1], rel=0.25)
+
+
+def test_draw_decides_what_is_taken(spark, monkeypatch):
+    """Other draws take other blocks: the slots of a source are as many as were drawn for it."""
+    docs = documents(spark, [(i, words(100, i), "en", f"s{i % 7}") for i in range(350)])
     sources = mixing.targets(mixing.sizes(docs))
+    drawn = {r.sid: r.n for r in mixing.drawn(sources).groupBy("sid").agg(F.sum("n").alias("n")).collect()}
+    most = {r.sid: mixing.MOST * r.blocks for r in sources.collect()}
     slots = mixing.slots(sources)
-    want = {r.sid: r.slots for r in sources.collect()}
-    assert {r.sid: r.n for r in slots.groupBy("sid").agg(F.count_distinct("slot").alias("n")).collect()} == want
+    assert {r.sid: r.n for r in slots.groupBy("sid").agg(F.count_distinct("slot").alias("n")).collect()} == {s: min(n, most[s]) for s, n in drawn.items() if n}
+    assert slots.groupBy("sid", "index").count().where(f"count > {mixing.MOST}").count() == 0
+    before = rows(mixing.plan(docs).toPandas())
+    hashed = mixing.wide
+    monkeypatch.setattr(mixing, "wide", lambda x: hashed(x + 12345))
+    assert rows(mixing.plan(docs).toPandas()) != before
+
+
+def test_slots_are_dealt_to_tasks(spark):
+    docs = documents(spark, [(i, words(100, i), "en", f"s{i % 2}") for i in range(400)])
+    sources = mixing.targets(mixing.sizes(docs))
+    held = [r.n for r in mixing.slots(sources).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(held) > 1
 
 
 # 8
