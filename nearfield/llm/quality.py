@@ -7,16 +7,22 @@ weighs the passages; the weighted mean of the encodings is scored by a logistic
 labels teach the weights.
 
 The network is fitted on about ``SAMPLE`` labelled rows, chosen by a hash of the id, and on no
-more than twice that. Scoring reads every passage of every text.
+more than twice that; of a training text on at most ``FIT_PASSAGES`` passages, evenly spaced. Scoring
+reads every passage of every text, ``BLOCK`` of them at a time: a text's weighted sum is carried from block
+to block, so memory does not grow with the number of its passages.
 
 Defined results. Null and empty texts are one empty passage. Nothing to learn from: every score is
-0.5. A document labelled several times has the mean label. Equal texts get equal scores.
+0.5. A document labelled several times has the mean label. Equal texts get equal scores, up to rounding. Rows
+that share a doc_id get scores of their own; null doc_ids are scored and not learned from. An empty table makes
+no rows. Columns other than doc_id, text and quality are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +33,8 @@ from nearfield.llm._shared import arrow_batches, held_out
 
 #: Bytes of a passage; labelled rows to fit on; score from which a text counts as good.
 PASSAGE, SAMPLE, GOOD = 512, 3000, 0.3
+#: Passages of a training text at most; passages that are encoded at once.
+FIT_PASSAGES, BLOCK = 64, 1024
 PAIRS, HIDDEN, GATE = 128, 24, 12
 EPOCHS, RATE, DECAY, BAGS = 30, 0.01, 1e-4, 64
 
@@ -36,9 +44,26 @@ _CLASSES = 64
 WIDTH = _CLASSES + PAIRS + 4
 
 
-def passages(text: bytes | None) -> list[bytes]:
-    out = [line[a : a + PASSAGE] for line in (text or b"").split(b"\n") if line.strip() for a in range(0, len(line), PASSAGE)]
-    return out or [b""]
+_LINE = re.compile(rb"[^\n]+")
+
+
+def passages(text: bytes | None) -> Iterator[bytes]:
+    """The passages of a text one by one."""
+    none = True
+    for m in _LINE.finditer(text or b""):
+        line = m.group()
+        if not line.isspace():
+            none = False
+            for a in range(0, len(line), PASSAGE):
+                yield line[a : a + PASSAGE]
+    if none:
+        yield b""
+
+
+def spaced(text: bytes | None, most: int = FIT_PASSAGES) -> list[bytes]:
+    """At most so many passages of a text, evenly spaced."""
+    n = sum(1 for _ in passages(text))
+    return list(islice(passages(text), 0, None, -(-n // most)))
 
 
 def encode(parts: list[bytes]) -> np.ndarray:
@@ -87,8 +112,28 @@ class Model:
         z = np.add.reduceat(alpha[:, None] * h, starts)
         return h, v, u, bag, alpha, z, _sigmoid(z @ w["o"] + w["b"])
 
-    def score(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return self._forward((x - self.mean) / self.scale, starts)[-1]
+    def scores(self, texts: Iterable[bytes | None]) -> list[float]:
+        """The scores of texts; the softmax over a text's passages is summed up from block to block."""
+        w = self.weights
+        top, total, sums = [], [], []
+        every = ((i, p) for i, t in enumerate(texts) for p in passages(t))
+        while some := list(islice(every, BLOCK)):
+            own = np.array([i for i, _ in some])
+            h = np.tanh((encode([p for _, p in some]) - self.mean) / self.scale @ w["E"] + w["e"])
+            raw = (np.tanh(h @ w["V"]) * _sigmoid(h @ w["U"])) @ w["a"]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            most = np.maximum.reduceat(raw, starts)
+            part = np.exp(raw - np.repeat(most, np.diff(np.append(starts, len(own)))))
+            for i, m, n, z in zip(own[starts].tolist(), most.tolist(), np.add.reduceat(part, starts).tolist(), np.add.reduceat(part[:, None] * h, starts), strict=True):
+                if i == len(top):
+                    top.append(m)
+                    total.append(n)
+                    sums.append(z)
+                else:
+                    high = max(m, top[i])
+                    old, new = np.exp(top[i] - high), np.exp(m - high)
+                    top[i], total[i], sums[i] = high, total[i] * old + n * new, sums[i] * old + z * new
+        return _sigmoid(np.array(sums) / np.array(total)[:, None] @ w["o"] + w["b"]).tolist() if top else []
 
     def gradients(self, x: np.ndarray, starts: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
@@ -108,21 +153,21 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model | None:
     if not bags:
         return None
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags)
-    mean, scale = every.mean(0), every.std(0) + 1e-3
+    n = sum(map(len, bags))
+    mean = sum(b.sum(0, dtype=np.float64) for b in bags) / n
+    scale = np.sqrt(sum(((b - mean) ** 2).sum(0) for b in bags) / n) + 1e-3
     start = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
     prior = np.clip(y.mean(), 0.01, 0.99)
     weights = {"E": start(WIDTH, HIDDEN), "e": np.zeros(HIDDEN), "V": start(HIDDEN, GATE), "U": start(HIDDEN, GATE), "a": start(GATE), "o": start(HIDDEN), "b": np.array(np.log(prior / (1 - prior)))}
     model = Model(mean, scale, weights)
-    scaled = [(b - mean) / scale for b in bags]
     m, s, t = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2)), None, 0
     first, second = m
     for _ in range(EPOCHS):
         order = rng.permutation(len(bags))
         for a in range(0, len(order), BAGS):
             some = order[a : a + BAGS]
-            sizes = [len(scaled[i]) for i in some]
-            got = model.gradients(np.concatenate([scaled[i] for i in some]), np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int), y[some])
+            sizes = [len(bags[i]) for i in some]
+            got = model.gradients((np.concatenate([bags[i] for i in some]) - mean) / scale, np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int), y[some])
             t += 1
             for k, g in got.items():
                 g = g + DECAY * weights[k]
@@ -149,11 +194,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [encode(passages(t)).astype(np.float16).tobytes() for t in batch.column(2).to_pylist()]
+            made = [encode(spaced(t)).astype(np.float16).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc_id", "quality", "bag"])
 
     rows = sorted((r["doc_id"], bytes(r["bag"]), r["quality"]) for r in joined.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality double, bag binary").toLocalIterator())
-    return train([np.frombuffer(b, np.float16).reshape(-1, WIDTH).astype(np.float64) for _, b, _ in rows], np.array([float(q >= 0.5) for _, _, q in rows]))
+    return train([np.frombuffer(b, np.float16).reshape(-1, WIDTH) for _, b, _ in rows], np.array([float(q >= 0.5) for _, _, q in rows]))
 
 
 def scores(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -165,15 +210,8 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got: list[float] = []
             texts = batch.column(2).to_pylist()
-            for a in range(0, len(texts), 128):
-                bags = [passages(t) for t in texts[a : a + 128]]
-                if shared.value is None:
-                    got += [0.5] * len(bags)
-                    continue
-                starts = np.concatenate(([0], np.cumsum([len(x) for x in bags])[:-1])).astype(int)
-                got += shared.value.score(encode([p for x in bags for p in x]), starts).tolist()
+            got = [0.5] * len(texts) if shared.value is None else shared.value.scores(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64()), pa.array([int(x >= GOOD) for x in got], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     return lean.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
