@@ -10,7 +10,9 @@ to a place, the one whose last piece is longest wins. A character that is no pie
 score of the vocabulary less 10; a run of such characters is one unknown piece, or with byte
 fallback as many pieces as it has bytes.
 
-Defined results. Null and empty texts have 0 tokens. Equal texts have equal counts.
+Defined results. Null and empty texts have 0 tokens. Equal texts have equal counts. A text without blanks is one
+segment, whose tables are a window of fixed size. Null and repeated doc_ids are kept as they are, an
+empty table makes no rows, and columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ from nearfield.llm._shared import arrow_batches
 
 #: Fixed by the library: the mark of a word's start, and the penalty of an unknown character.
 MARK, PENALTY = "▁", 10.0
-#: Segments that a worker remembers, and the vocabulary file of the query.
-MEMO, VOCABULARY = 400_000, "piece_bpe_32k.model"
+#: Segments that a worker remembers, characters of those that it does, and the vocabulary file of the query.
+MEMO, MEMO_CHARS, VOCABULARY = 400_000, 32, "piece_bpe_32k.model"
+#: Places of a segment whose results are kept at once, besides those that a piece can reach back to.
+WINDOW = 4096
 
 
 class Counter:
@@ -44,31 +48,41 @@ class Counter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), float(score)))
         self.automaton.make_automaton()
+        self.reach = max((len(p) for p, _ in vocabulary), default=1)
         self.single = {p for p, _ in vocabulary if len(p) == 1}
         self.unknown = min(s for _, s in vocabulary) - PENALTY
         self.memo: dict[str, tuple[int, int]] = {}
 
     def segment(self, s: str) -> tuple[int, int]:
-        """(pieces, unknown characters) of one segment."""
-        n = len(s)
-        best = [0.0] + [-math.inf] * n
-        pieces, missing, open_run = [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(s):
-            matches[end].append(found)
-        for end in range(n):
+        """(pieces, unknown characters) of one segment; holds a window of its places only."""
+        best, pieces, missing, open_run, base = [0.0], [0], [0], [False], 0
+        matches = self.automaton.iter(s)
+        coming = next(matches, None)
+        for end, char in enumerate(s):
+            found = []
+            while coming is not None and coming[0] == end:
+                found.append(coming[1])
+                coming = next(matches, None)
             top, of = -math.inf, -1
-            for length, score in sorted(matches[end], reverse=True):  # the longest first
-                at = end + 1 - length
+            for length, score in sorted(found, reverse=True):  # the longest first
+                at = end + 1 - length - base
                 if score + best[at] > top:
                     top, of = score + best[at], at
-            if s[end] not in self.single and (of < 0 or self.unknown + best[end] > top):
-                best[end + 1], missing[end + 1] = self.unknown + best[end], missing[end] + 1
-                pieces[end + 1] = pieces[end] + (len(s[end].encode("utf-8", "surrogatepass")) if self.fallback else not open_run[end])
-                open_run[end + 1] = True
+            if char not in self.single and (of < 0 or self.unknown + best[-1] > top):
+                pieces.append(pieces[-1] + (len(char.encode("utf-8", "surrogatepass")) if self.fallback else not open_run[-1]))
+                missing.append(missing[-1] + 1)
+                best.append(self.unknown + best[-1])
+                open_run.append(True)
             else:
-                best[end + 1], pieces[end + 1], missing[end + 1] = top, pieces[of] + 1, missing[of]
-        return pieces[n], missing[n]
+                pieces.append(pieces[of] + 1)
+                missing.append(missing[of])
+                best.append(top)
+                open_run.append(False)
+            if len(best) > WINDOW + 2 * self.reach:
+                for table in (best, pieces, missing, open_run):
+                    del table[: WINDOW + self.reach]
+                base += WINDOW + self.reach
+        return pieces[-1], missing[-1]
 
     def count(self, text: str) -> tuple[int, int]:
         """(tokens, unknown characters) of a text."""
@@ -82,7 +96,9 @@ class Counter:
             if got is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                got = memo[w] = self.segment(MARK + w)
+                got = self.segment(MARK + w)
+                if len(w) <= MEMO_CHARS:
+                    memo[w] = got
             total += got[0]
             missing += got[1]
         return total, missing
