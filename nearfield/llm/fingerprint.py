@@ -63,7 +63,7 @@ def _occurrences(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         packed = np.sort((h >> _POS << _POS) | np.arange(n, dtype=np.uint64))
         at, code = packed & np.uint64((1 << 24) - 1), packed >> _POS
     else:
-        at = np.argsort(h, kind="stable").astype(np.uint64)
+        at = np.argsort(h >> _POS, kind="stable").astype(np.uint64)
         code = h[at] >> _POS
     place = np.arange(n, dtype=np.uint64)
     first = np.maximum.accumulate(np.where(np.concatenate(([True], code[1:] != code[:-1])), place, 0))
@@ -76,7 +76,11 @@ def signature(points: np.ndarray) -> np.ndarray:
     if not len(points):
         return out
     code, at = _occurrences(kmer_hashes(points))
-    order = np.argsort(code) if len(code) >= 1 << 24 else (np.sort((code >> _POS << _POS) | np.arange(len(code), dtype=np.uint64)) & np.uint64((1 << 24) - 1)).astype(np.int64)
+    # Ranked by the top 40 bits of the hash, ties by position in the table of sorted k-mers: one rule for texts of any length.
+    if len(code) < 1 << 24:
+        order = (np.sort((code >> _POS << _POS) | np.arange(len(code), dtype=np.uint64)) & np.uint64((1 << 24) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(code >> _POS, kind="stable")
     # The top six bits are the bin, so the sorted k-mers are grouped by bin, least first.
     bins = (code[order] >> np.uint64(58)).astype(np.int64)
     starts = np.searchsorted(bins, np.arange(BINS + 1))

@@ -57,7 +57,8 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _XOR = _rng.integers(0, 1 << 63, SAMPLES, np.uint64)[:, None]
 _MULTIPLY = (_rng.integers(0, 1 << 63, SAMPLES, np.uint64) << np.uint64(1) | np.uint64(1))[:, None]
-_MEMO = 300_000
+#: Words that a worker remembers, and bytes of those that it does.
+_MEMO, _MEMO_BYTES = 300_000, 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,10 +79,11 @@ class Shingler:
         except KeyError:
             if len(memo) > _MEMO:
                 memo.clear()
+            long: dict[bytes, int] = {}
             for w in set(words):
                 if w not in memo:
-                    memo[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-            return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+                    (memo if len(w) <= _MEMO_BYTES else long)[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+            return np.fromiter((long[w] if len(w) > _MEMO_BYTES else memo[w] for w in words), np.uint64, len(words))
 
     def of(self, text: bytes | None, n: int = SHINGLE) -> np.ndarray:
         words = (text or b"").translate(_FOLD).split()

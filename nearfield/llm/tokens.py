@@ -15,6 +15,7 @@ equal ones are in the order of their texts. An empty table makes no files and no
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -155,8 +156,8 @@ def records_of(content: bytes) -> Iterator[tuple[int, int, list[int | None], np.
 #: digits) spelt out for the texts of _PLAIN: Latin letters, marks and plain blanks.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-z0-9ªµºÀ-ÖØ-öø-ſ²³¹¼½¾]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ]*")
-#: Pre-tokens that a worker remembers.
-_MEMO = 400_000
+#: Pre-tokens that a worker remembers, and characters of those that it does.
+_MEMO, _MEMO_CHARS = 400_000, 32
 
 
 def _byte_letters() -> dict[int, int]:
@@ -182,7 +183,9 @@ class _Memo(dict):
             spelt = part.replace(" ", self.blank)
         else:
             spelt = part.encode().decode("latin-1").translate(self.letters)
-        made = self[part] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        made = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        if len(part) <= _MEMO_CHARS:
+            self[part] = made
         return made
 
 
@@ -191,13 +194,17 @@ class Encoder:
 
     Byte-level BPE never merges across pre-tokens, so a text's ids are those of its pre-tokens in
     turn. Each distinct pre-token is encoded by the library's model once. Texts with other characters,
-    or with a special token in them, go through the whole library.
+    or with a special token in them, go through the whole library; so do all texts if the file's
+    splitting rule or normalizer is another one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        rules = json.loads(self.library.to_str())
+        first = rules["pre_tokenizer"] or {}
+        self.known_rule = rules["model"]["type"] == "BPE" and rules["normalizer"] is None and (first.get("type"), first.get("add_prefix_space"), first.get("use_regex")) == ("ByteLevel", False, True)
         self.split = re.compile(_SPLIT).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo = _Memo(self.library.model)
@@ -207,7 +214,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+        if not self.known_rule or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return self.whole(text)
         return b"".join(map(self.memo.__getitem__, self.split(text)))
 
