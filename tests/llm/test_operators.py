@@ -589,6 +589,95 @@ def test_quality(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
 
 
+def plain_score(model, text):
+    """One text by the definition: every passage encoded alone, one softmax over all of them."""
+    parts = [line[a : a + quality.PASSAGE] for line in (text or "").encode().split(b"\n") if line.strip() for a in range(0, len(line), quality.PASSAGE)] or [b""]
+    w, raw, hs = {k: np.asarray(v, np.float64) for k, v in model.weights.items()}, [], []
+    for p in parts:
+        h = np.tanh((quality.encode([p])[0].astype(np.float64) - model.mean) / model.scale @ w["E"] + w["e"])
+        raw.append(float((np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["a"]))
+        hs.append(h)
+    alpha = np.exp(np.array(raw) - max(raw))
+    z = (alpha[:, None] * np.array(hs)).sum(0) / alpha.sum()
+    return 1 / (1 + np.exp(-(z @ w["o"] + w["b"])))
+
+
+def test_quality_by_definition(spark, odd, monkeypatch):
+    """All scores against one text at a time; blocks of three passages, so that texts go over several."""
+    docs = odd.unionByName(documents(spark, [(50 + i, "\n".join(words(5 + i, 9 * i + k) for k in range(1 + i % 9)), "en") for i in range(60)]))
+    labels = spark.createDataFrame([(50 + i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "BLOCK", 3)
+    texts = [r.text for r in docs.collect()]
+    few = model.scores([None if t is None else t.encode() for t in texts])
+    assert np.allclose(few, [plain_score(model, t) for t in texts], atol=1e-4)
+    assert np.allclose(sorted(few), sorted(r.score for r in quality.scores(docs, model).collect()), atol=1e-4)
+
+
+def grown(run):
+    """MB that a call adds to this process at its peak, and its seconds."""
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.time()
+    run()
+    took, (_, most) = time.time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    return most / 1e6, took
+
+
+def test_memory_of_long_odd_texts():
+    """One-character lines, an unbroken text, a large payload: memory stays bounded or in proportion."""
+    rng = np.random.default_rng(1)
+    model = quality.train([rng.normal(size=(3, quality.WIDTH)), rng.normal(size=(2, quality.WIDTH))], np.array([1.0, 0.0]))
+    assert grown(lambda: model.scores([b"x\n" * 200_000]))[0] < 60
+    counter = unigram.Counter([("<unk>", 0.0), ("a", -1.0), ("ab", -1.5), ("bab", -2.0)], False)
+    text = "ab" * 200_000
+    assert counter.segment(text) == (200_000, 0)
+    assert grown(lambda: counter.segment(text))[0] < 20
+    assert counter.count(text)[0] and not counter.memo
+
+
+def test_windows_of_a_segment_miss_nothing(monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [("<unk>", 0.0)] + [(p, float(-rng.randint(1, 4))) for p in sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(30)})]
+    counter, text = unigram.Counter(vocabulary, False), "".join(rng.choice("abcd") for _ in range(5000))
+    whole = counter.segment(text)
+    monkeypatch.setattr(unigram, "WINDOW", 7)
+    assert counter.segment(text) == whole
+
+
+def test_large_payload(spark):
+    """A payload of many megabytes is framed, segmented and read back in linear time."""
+    import time
+
+    took = []
+    for mb in (4, 16):
+        page = spark.createDataFrame([(1, "u")], "page_id long, url string").withColumn("html", F.repeat(F.lit("0123456789abcdef"), mb << 16))
+        began = time.time()
+        r = warc.roundtrip(page).first()
+        took.append(time.time() - began)
+        assert r.payload_bytes == mb << 20 and r.record_type == "response"
+    assert took[1] < 5 * took[0] + 5
+
+
+def test_long_words_are_not_remembered():
+    s = neardup.Shingler()
+    text = b"one two " + b"y" * 100 + b" three four five"
+    assert len(s.of(text)) == 2 and set(s.memo) == {b"one", b"two", b"three", b"four", b"five"}
+    assert (s.of(text) == neardup.Shingler().of(text)).all()
+    e = tokens.encoder(tokens.TOKENIZER)
+    assert e.encode("z" * 100) == e.whole("z" * 100) and "z" * 100 not in e.memo
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_other_splitting_rules_go_through_the_library(name):
+    e = tokens.encoder(name)
+    for text in ("It's 12 o'clock, isn't it?  Yes.\n\nNo", "plain words", "été 3.14"):
+        assert e.encode(text) == e.whole(text)
+
+
 def test_quality_odd(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.classify(odd, none).collect()} == {0.5}
