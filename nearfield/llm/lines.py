@@ -1,12 +1,18 @@
 """Line dedup by an edit join over segments, with DataFrame functions alone.
 
-Distinct lines within ``EDITS`` edits of each other are linked. A line is split into EDITS + 1 segments;
-of two linked lines, the longer one holds a segment of the shorter one unchanged, at one of a few
-places that the difference of their lengths allows. Segments are indexed by (length of the line,
-number, hash of the text); every line probes the index for the lengths in reach with the substrings at
-those places. Index and probes meet in one equi-join, inside which counts of frequent letters, that an
-edit changes by two in all at most, drop most pairs. What remains is verified by a banded bit-parallel
-edit distance: a word of 2 * EDITS + 1 bits slides down the diagonal, one column of the table a step.
+Distinct lines within a number of edits of each other are linked; the shorter line's length says how many
+(``RULE``). With e edits a line is split into e + 1 segments; of two linked lines, the longer one holds a
+segment of the shorter one unchanged, at one of a few places that the difference of their lengths
+allows. Segments are indexed by (length of the line, number, hash of the text); every line probes the
+index for the lengths in reach with the substrings at those places. Index and probes meet in one
+equi-join, inside which counts of frequent letters, that an edit changes by two in all at most, drop
+most pairs. What remains is verified by a banded bit-parallel edit distance: a word of 2 * e + 1 bits
+slides down the diagonal, one column of the table a step.
+
+A segment that very many lines have in common (a time, a license's first words) would make all their
+pairs. Such keys are found in a sample of the lines, and their lines meet otherwise: what stands beside the
+segment is within e edits too, so it is split into e + 1 segments itself, and lines meet if they share one of
+those as well; so on up to ``LEVELS`` deep. No pair within the edits is missed by it.
 
 Linked lines form classes, and of each class the first line in order of (doc_id, position) is kept.
 Classes may chain: a and c can be in one class by way of b.
@@ -17,9 +23,10 @@ task. Only lines of candidate pairs are looked up again: a bitmap of fixed size,
 broadcast, keeps nearly all others from the shuffle.
 
 Defined results. Lines are cut at line feeds and trimmed of blanks, tabs and the like; blank lines are
-always kept and have no class. Lines of fewer than ``LEAST`` characters are linked with nothing, so only exact copies of
-them are dropped. Null text has no lines. Null doc_ids come last of all. Rows that share a doc_id are
-one document for what they keep. Equal lines inside a document are dropped like others.
+always kept and have no class. Lines shorter than all lengths of ``RULE`` are linked with nothing, so only exact
+copies of them are dropped. Null text has no lines; an empty table makes no rows. Null doc_ids come last of all.
+Rows that share a doc_id are one document for what they keep. Equal lines inside a document are dropped like
+others. Lines and texts may be of any length. Columns of any name stay as they are in `deduplicate`.
 """
 
 from __future__ import annotations
@@ -29,11 +36,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm._shared import stage
+from nearfield.llm._shared import drop_staged, private, stage
 from nearfield.llm.components import components
 
-#: Edits between linked lines at most; characters of a line that may be linked at least.
-EDITS, LEAST = 1, 16
+#: Characters of the shorter line from which linked lines may differ by one edit, by two.
+RULE = (8, 16)
+#: Of that many lines (by hash) one looks for keys that many lines share; keys of so many sampled lines, or lines, are refined; levels of segments.
+SAMPLED, HOT_SAMPLE, HOT, LEVELS = 64, 4, 256, 3
 #: Bits of the bitmap that picks lines to look up: 2 MB at most, as rows of 64 bits.
 BITMAP = 1 << 23
 #: Letters whose counts are compared, ten bits each.
@@ -48,7 +57,7 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 # Segments
 
 
-def segment(length: Column, i: int, edits: int = EDITS) -> tuple[Column, Column]:
+def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 0): the last ones are longer by one if need be."""
     short = F.floor(length / (edits + 1)).cast("int")
     longer = F.pmod(length, F.lit(edits + 1)).cast("int")
@@ -57,36 +66,67 @@ def segment(length: Column, i: int, edits: int = EDITS) -> tuple[Column, Column]
     return start, short + (F.lit(i) >= first_longer).cast("int")
 
 
+def moves(edits: int, d: int) -> list[tuple[int, int]]:
+    """(segment, shift): how far a segment can have moved in a partner that is longer by d.
+
+    The edits before the segment and those behind it add up to no more than `edits`.
+    """
+    return [(i, x) for i in range(edits + 1) for x in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
+
+
+def allowed(length: Column, rule: tuple[int, ...]) -> Column:
+    """The edits that a pair may have whose shorter line has this length."""
+    return sum(((length >= least).cast("int") for least in rule), F.lit(0))
+
+
 def _key(line: Column, start: Column, size: Column, length: Column, i: int) -> Column:
     return F.xxhash64(F.substring(line, start, size), length, F.lit(i))
 
 
-def index_keys(line: Column, length: Column, edits: int = EDITS) -> list[Column]:
-    out = []
-    for i in range(edits + 1):
-        start, size = segment(length, i, edits)
-        out.append(_key(line, start, size, length, i))
-    return out
+def _slots(line: Column, length: Column, rule: tuple[int, ...], d: int | None) -> list[list[tuple[Column, dict[str, Column]]]]:
+    """The places of a line that are indexed (d is None), or probed for partners shorter by d.
 
+    One list a place, with a condition and the place's key, start, size and edits for each number of edits.
+    """
+    other = length if d is None else length - d
+    out: list[list] = []
+    for edits in range(len(rule), 0, -1):
+        fits = (other >= rule[edits - 1]) & (other < rule[edits] if edits < len(rule) else F.lit(True)) & (other >= edits + 1)
+        for at, (i, shift) in enumerate([(i, 0) for i in range(edits + 1)] if d is None else moves(edits, d) if d <= edits else []):
+            begin, size = segment(other, i, edits)
+            begin = begin + shift
+            if at == len(out):
+                out.append([])
+            out[at].append((fits & (begin >= 1) & (begin + size - 1 <= length), {"key": _key(line, begin, size, other, i), "start": begin, "size": size, "edits": F.lit(edits)}))
+    return out
 
-def probe_keys(line: Column, length: Column, edits: int = EDITS) -> list[Column]:
-    """The keys to look up for partners that are no longer than the line.
 
-    With a partner shorter by d, segment i can only have moved so far that the edits before it and those
-    behind it add up to no more than `edits`.
-    """
-    out = []
-    for d in range(edits + 1):
-        for i in range(edits + 1):
-            other = length - d
-            start, size = segment(other, i, edits)
-            for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                at = start + shift
-                inside = (at >= 1) & (at + size - 1 <= length) & (other >= edits + 1)
-                out.append(F.when(inside, _key(line, at, size, other, i)))
+def _first_that_fits(slot: list[tuple[Column, dict[str, Column]]], value: Callable[[dict[str, Column]], Column]) -> Column:
+    out = F.when(slot[0][0], value(slot[0][1]))
+    for fits, place in slot[1:]:
+        out = out.when(fits, value(place))
     return out
 
 
+def index_keys(line: Column, length: Column, rule: tuple[int, ...] = RULE) -> list[Column]:
+    return [_first_that_fits(s, lambda p: p["key"]) for s in _slots(line, length, rule, None)]
+
+
+def probe_keys(line: Column, length: Column, rule: tuple[int, ...] = RULE) -> list[Column]:
+    """The keys to look up for partners that are no longer than the line."""
+    return [_first_that_fits(s, lambda p: p["key"]) for d in range(len(rule) + 1) for s in _slots(line, length, rule, d)]
+
+
+def _places(line: Column, length: Column, rule: tuple[int, ...], ds: list[int | None]) -> Column:
+    """The same with what stands beside each place: an array of (key, edits, d, rest)."""
+
+    def place(p: dict[str, Column], d: int | None) -> Column:
+        rest = F.concat(F.substring(line, F.lit(1), p["start"] - 1), F.substring(line, p["start"] + p["size"], length))
+        return F.struct(p["key"].alias("key"), p["edits"].alias("edits"), F.lit(d or 0).alias("d"), rest.alias("rest"))
+
+    return F.filter(F.array(*[_first_that_fits(s, lambda p: place(p, d)) for d in ds for s in _slots(line, length, rule, d)]), lambda p: p.isNotNull())  # noqa: B023
+
+
 # Verification
 
 
@@ -103,7 +143,7 @@ def _common(a: Column, b: Column, from_end: bool) -> Column:
     return F.aggregate(bits, F.lit(0), grow)
 
 
-def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
+def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of a to b, where b is as long as a or longer; over `edits` if it is more.
 
     Bit k of a word is row j - edits + k of column j. Differences down a column are held as two
@@ -155,7 +195,7 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     return F.when(F.length(b) - F.length(a) > edits, F.lit(edits + 1).cast("long")).otherwise(found)
 
 
-def distance(a: Column, b: Column, edits: int = EDITS) -> Column:
+def distance(a: Column, b: Column, edits: int) -> Column:
     """The banded distance of what two lines do not share at their ends; the shorter line first or second."""
     ordered = F.struct(F.when(F.length(a) <= F.length(b), a).otherwise(b).alias("a"), F.when(F.length(a) <= F.length(b), b).otherwise(a).alias("b"))
 
@@ -196,31 +236,94 @@ def _letters_apart(a: Column, b: Column) -> Column:
     return total
 
 
-def distinct_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def distinct_lines(docs: DataFrame, rule: tuple[int, ...] = RULE) -> DataFrame:
     """One row a line: its hashes, the first doc_id, its letters, and keys to index and to probe (null for short lines)."""
     rows = occurrences(docs)
     n = F.length("line")
-    index, probe = index_keys(F.col("line"), n, edits), probe_keys(F.col("line"), n, edits)
+    index, probe = index_keys(F.col("line"), n, rule), probe_keys(F.col("line"), n, rule)
     keys = [(f"i{k}", c) for k, c in enumerate(index)] + [(f"p{k}", c) for k, c in enumerate(probe)]
-    # Lengths that differ must not make a line of fewer characters linkable from one side only.
-    able = n >= least
-    made = rows.select("h1", "h2", "doc_id", _letters(F.col("line")).alias("letters"), *[F.when(able, c).alias(k) for k, c in keys])
+    made = rows.select("h1", "h2", "doc_id", _letters(F.col("line")).alias("letters"), *[c.alias(k) for k, c in keys])
     # Equal lines have equal keys, so any aggregate that is combined early serves.
     return made.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min("letters").alias("letters"), *[F.min(k).alias(k) for k, _ in keys])
 
 
-def _entries(lines: DataFrame, kind: str, side: str) -> DataFrame:
+def _entries(lines: DataFrame, kind: str) -> DataFrame:
+    """(key, h, letters) of the lines' index (i) or probe (p) keys. A line is known by 64 bits here; verification tells apart what shares them."""
     keys = [c for c in lines.columns if c[0] == kind and c[1:].isdigit()]
-    rows = lines.select(F.struct("h1", "h2").alias(f"{side}"), F.col("letters").alias(f"{side}_letters"), F.explode(F.array_distinct(F.array(*keys))).alias(f"{side}_key"))
-    return rows.where(F.col(f"{side}_key").isNotNull())
+    rows = lines.select(F.col("h1").alias("h"), "letters", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    return rows.where("key is not null").select("key", "h", "letters")
 
 
-def candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Pairs (a, b) of line ids that share a segment and may be within the edits, each once."""
-    a, b = _entries(lines, "i", "a"), _entries(lines, "p", "b")
-    near = _letters_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * edits
+def _meet(index: DataFrame, probe: DataFrame, most: Column) -> DataFrame:
+    """Pairs (a, b) of lines that share a key and whose letters are no further apart than `most` edits make them."""
+    a = index.select(F.col("key").alias("a_key"), F.col("h").alias("a"), F.col("letters").alias("a_letters"), *[c for c in index.columns if c == "edits"])
+    b = probe.select(F.col("key").alias("b_key"), F.col("h").alias("b"), F.col("letters").alias("b_letters"))
+    near = _letters_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * most
     met = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a") != F.col("b")) & near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _inside(rows: DataFrame, hot: DataFrame, most: int, probing: bool) -> DataFrame:
+    """The next level of what lies beside hot keys: (key, h, letters, edits, d, rest), keys of segments of the rest."""
+    rest, n = F.col("rest"), F.length("rest")
+    kept = rows.join(hot.select(F.col("key").alias("hot")), F.col("key") == F.col("hot")).drop("hot")
+
+    def places(edits: int, d: int) -> Column:
+        out = []
+        for i, shift in moves(edits, d) if probing else [(i, 0) for i in range(edits + 1)]:
+            begin, size = segment(n - d, i, edits)
+            begin = begin + shift
+            beside = F.concat(F.substring(rest, F.lit(1), begin - 1), F.substring(rest, begin + size, n))
+            inside = (begin >= 1) & (begin + size - 1 <= n)
+            out.append(F.when(inside, F.struct(F.xxhash64("key", F.substring(rest, begin, size), F.lit(i)).alias("key"), beside.alias("rest"))))
+        return F.filter(F.array(*out), lambda p: p.isNotNull())
+
+    # An array_distinct would compare the texts; a line that probes one key twice is combined behind the join.
+    made, first = F.lit(None), True
+    for edits in range(1, most + 1):
+        for d in range(edits + 1) if probing else [0]:
+            case = (F.col("edits") == edits) & (F.col("d") == d)
+            made, first = (F.when(case, places(edits, d)) if first else made.when(case, places(edits, d))), False
+    return kept.select("h", "letters", "edits", "d", F.explode(made).alias("p")).select("p.key", "h", "letters", "edits", "d", "p.rest")
+
+
+def _refined(docs: DataFrame, lines: DataFrame, hot: DataFrame, rule: tuple[int, ...]) -> DataFrame:
+    """Pairs of lines that meet under hot keys: they share a segment of what stands beside the key too."""
+    most = len(rule)
+    either = _entries(lines, "i").unionByName(_entries(lines, "p")).join(hot.select(F.col("key").alias("hot")), F.col("key") == F.col("hot"))
+    wanted = stage(either.select(F.col("h").alias("h1")).distinct(), "line-hot")
+    known = lines.select("h1", "h2", "letters").join(wanted, "h1").select("h1", "h2", "letters")
+    texts = _picked(occurrences(docs), wanted).distinct().join(known, ["h1", "h2"])
+    texts = stage(texts.select(F.col("h1").alias("h"), "letters", "line"), "line-hot-texts")
+    line, n = F.col("line"), F.length("line")
+    index = texts.select("h", "letters", F.explode(_places(line, n, rule, [None])).alias("p"))
+    probe = texts.select("h", "letters", F.explode(_places(line, n, rule, list(range(most + 1)))).alias("p"))
+    index, probe = (x.select("p.key", "h", "letters", "p.edits", "p.d", "p.rest") for x in (index, probe))
+    found = None
+    for level in range(1, LEVELS):
+        index, probe = stage(_inside(index, hot, most, False), "line-index"), stage(_inside(probe, hot, most, True), "line-probe")
+        cold = index
+        if level < LEVELS - 1:
+            hot = stage(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("key"), "line-hot-keys")
+            if not hot.isEmpty():
+                cold = index.join(hot, "key", "left_anti")
+        pairs = stage(_meet(cold, probe, F.col("edits")).distinct(), "line-pairs")
+        found = pairs if found is None else found.unionByName(pairs)
+        if cold is index:
+            break
+    return found
+
+
+def candidates(docs: DataFrame, lines: DataFrame, rule: tuple[int, ...] = RULE) -> DataFrame:
+    """Pairs (a, b) of lines, by the first 64 bits of their hashes, that share a segment and may be within the edits; each once."""
+    index, probe = _entries(lines, "i"), _entries(lines, "p")
+    sample = _entries(lines.where(F.pmod("h2", F.lit(SAMPLED)) == 0), "i")
+    hot = stage(sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SAMPLE).select("key"), "line-hot-keys")
+    most = F.lit(len(rule))
+    if hot.isEmpty():
+        return _meet(index, probe, most).distinct()
+    cold = index.join(hot.select(F.col("key").alias("hot")), F.col("key") == F.col("hot"), "left_anti")
+    return _meet(cold, probe, most).unionByName(_refined(docs, lines, hot, rule)).distinct()
 
 
 def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -232,24 +335,24 @@ def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.where(F.col("bits").bitwiseAND(F.col("mask")) != 0).select("h1", "h2", "line")
 
 
-def links(docs: DataFrame, lines: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def links(docs: DataFrame, lines: DataFrame, rule: tuple[int, ...] = RULE) -> DataFrame:
     """The verified pairs (a, b) of line ids."""
-    pairs = stage(candidates(lines, edits), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id.h1", "id.h2")
-    wanted = stage(wanted, "line-wanted")
+    pairs = stage(candidates(docs, lines, rule), "line-pairs")
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "line-wanted")
     # Copies go before the shuffle of the join. A semi join would be moved below the bitmap, so this is an inner one.
-    texts = _picked(occurrences(docs), wanted).distinct().join(wanted, ["h1", "h2"])
-    texts = stage(texts.select(F.struct("h1", "h2").alias("id"), "line"), "line-texts")
+    texts = _picked(occurrences(docs), wanted).distinct().join(wanted, "h1")
+    texts = stage(texts.select("h1", F.struct("h1", "h2").alias("id"), "line"), "line-texts")
     for side in "ab":
-        pairs = pairs.join(texts.select(F.col("id").alias(f"{side}_id"), F.col("line").alias(f"{side}_line")), F.col(side) == F.col(f"{side}_id"))
-    long_enough = (F.length("a_line") >= least) & (F.length("b_line") >= least)
-    return pairs.where(long_enough & (distance(F.col("a_line"), F.col("b_line"), edits) <= edits)).select("a", "b")
+        pairs = pairs.join(texts.select(F.col("h1").alias(f"{side}_h"), F.col("id").alias(f"{side}_id"), F.col("line").alias(f"{side}_line")), F.col(side) == F.col(f"{side}_h"))
+    most = allowed(F.least(F.length("a_line"), F.length("b_line")), rule)
+    near = pairs.where(distance(F.col("a_line"), F.col("b_line"), len(rule)) <= most)
+    return near.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def line_classes(docs: DataFrame, rule: tuple[int, ...] = RULE) -> DataFrame:
     """One row a distinct line: id (its hashes), first_doc, copies, class (an id), n_links."""
-    lines = stage(distinct_lines(docs, edits, least), "lines")
-    found = stage(links(docs, lines, edits, least), "line-links")
+    lines = stage(distinct_lines(docs, rule), "lines")
+    found = stage(links(docs, lines, rule), "line-links")
     labels = components(found).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), F.col("component").alias("label"))
     degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links")).select("id.h1", "id.h2", "n_links")
     linked = stage(labels.join(degree, ["h1", "h2"]), "line-labels")
@@ -257,45 +360,58 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Dat
     return rows.select(F.struct("h1", "h2").alias("id"), "first_doc", "copies", F.coalesce("label", F.struct("h1", "h2")).alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _keepers(docs: DataFrame, edits: int, least: int) -> DataFrame:
+def _keepers(docs: DataFrame, rule: tuple[int, ...]) -> DataFrame:
     """One row a distinct line: h1, h2, class, n_links and keeper, the least doc_id that holds a line of its class."""
-    classes = stage(line_classes(docs, edits, least).select("id.h1", "id.h2", "class", "first_doc", "n_links"), "line-classes")
+    classes = stage(line_classes(docs, rule).select("id.h1", "id.h2", "class", "first_doc", "n_links"), "line-classes")
     firsts = stage(classes.groupBy(F.col("class").alias("of")).agg(F.min("first_doc").alias("keeper")), "line-firsts")
-    return stage(classes.join(firsts, F.col("class") == F.col("of")).select("h1", "h2", "class", "n_links", "keeper"), "line-keepers")
+    out = stage(classes.join(firsts, F.col("class") == F.col("of")).select("h1", "h2", "class", "n_links", "keeper"), "line-keepers")
+    drop_staged(classes)
+    drop_staged(firsts)
+    return out
 
 
-def summary(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def summary(docs: DataFrame, rule: tuple[int, ...] = RULE) -> DataFrame:
     """One row per document.
 
     doc_id, n_lines (line feeds and one), n_kept (lines that are the first of their class), class_id (the least
-    doc_id that holds a line of the class of one of its lines, itself included), n_links (links of its lines,
-    each as often as it stands there).
+    doc_id of the documents that are connected with it by lines of one class, itself included; null for a null id),
+    n_links (links of its lines, each as often as it stands there).
     """
-    keepers = _keepers(docs, edits, least)
+    keepers = _keepers(docs, rule)
     kept = keepers.select("class", "keeper").distinct().groupBy("keeper").agg(F.count("*").alias("n_kept"))
     # A very common line meets one row in this join, which AQE splits.
     met = occurrences(docs).select("doc_id", "h1", "h2").join(keepers.select("h1", "h2", "n_links", F.col("keeper").alias("first")), ["h1", "h2"])
-    found = met.groupBy(F.col("doc_id").alias("doc")).agg(F.min("first").alias("class_id"), F.sum("n_links").alias("n_links"))
-    found = found.join(kept, F.col("doc").eqNullSafe(F.col("keeper")), "left").drop("keeper")
+    met = stage(met.groupBy(F.col("doc_id").alias("doc"), "first").agg(F.sum("n_links").alias("n_links")), "line-held")
+    # All documents of a class are connected with the one that keeps it.
+    joined = stage(components(met.where("doc != first").select(F.col("doc").alias("a"), F.col("first").alias("b"))), "line-documents")
+    found = met.groupBy("doc").agg(F.sum("n_links").alias("n_links"))
+    found = found.join(kept, F.col("doc").eqNullSafe(F.col("keeper")), "left").drop("keeper").join(joined, F.col("doc") == F.col("node"), "left").drop("node")
     count = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"))
     zero = F.lit(0).cast("long")
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
-    return rows.select("doc_id", "n_lines", F.coalesce("n_kept", zero).alias("n_kept"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"))
+    return rows.select("doc_id", "n_lines", F.coalesce("n_kept", zero).alias("n_kept"), F.coalesce("component", "doc_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"))
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def deduplicate(docs: DataFrame, rule: tuple[int, ...] = RULE) -> DataFrame:
     """The documents with the lines that are kept, and blank ones; other columns stay.
 
     Rows that share a doc_id should be told apart before.
     """
-    named = _keepers(docs, edits, least).select("h1", "h2", "class", "keeper")
+    name = private(docs)
+    named = _keepers(docs, rule).select("h1", "h2", "class", "keeper")
     rows = occurrences(docs).select("doc_id", "pos", "h1", "h2").join(named, ["h1", "h2"])
     # Of the class's lines in the document that keeps it, the first stays. Only lines that go are brought together.
     mine = rows.where(F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "class").agg(F.min("pos").alias("stays"))
     mine = mine.withColumnRenamed("doc_id", "at").withColumnRenamed("class", "of")
     marked = rows.join(mine, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("class") == F.col("of")), "left")
-    gone = marked.where(F.col("stays").isNull() | (F.col("pos") != F.col("stays"))).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("_gone", i), x))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("text", text).select(*docs.columns)
+    gone = marked.where(F.col("stays").isNull() | (F.col("pos") != F.col("stays")))
+    gone = gone.groupBy(F.col("doc_id").alias(name("doc"))).agg(F.collect_set("pos").alias(name("gone")))  # lines of one document
+
+    def left(parts: Column) -> Column:
+        # By the set of positions, as a search of a list for each line would grow with the square of a text.
+        stays = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(name("gone")))
+        return F.array_join(F.transform(stays, lambda i: F.get(parts, i)), "\n")
+
+    text = F.when(F.col(name("gone")).isNull(), F.col("text")).otherwise(_let(F.split("text", "\n"), left))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name("doc"))), "left").withColumn("text", text).select(*docs.columns)

@@ -340,7 +340,8 @@ def plain_lines(table):
         first[line] = min(first.get(line, doc), doc, key=rank)
 
     def near(a, b):
-        if min(len(a), len(b)) < lines.LEAST or abs(len(a) - len(b)) > lines.EDITS:
+        most = sum(min(len(a), len(b)) >= n for n in lines.RULE)
+        if not most or abs(len(a) - len(b)) > most:
             return False
         row = list(range(len(b) + 1))
         for i, c in enumerate(a):
@@ -348,7 +349,7 @@ def plain_lines(table):
             for j, d in enumerate(b):
                 new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
             row = new
-        return row[-1] <= lines.EDITS
+        return row[-1] <= most
 
     all_lines = list(first)
     parent, degree = {x: x for x in first}, Counter()
@@ -371,16 +372,23 @@ def plain_lines(table):
     held = {}
     for doc, line in occ:
         held.setdefault(doc, []).append(line)
-    out = []
-    for doc, text in table:
-        keepers = [k for x in held.get(doc, []) if (k := keeper[root(x)]) is not None]
-        out.append((doc, 0 if text is None else text.count("\n") + 1, kept[doc], min(keepers, default=doc), sum(degree[x] for x in held.get(doc, []))))
-    return out
+    group = {doc: doc for doc, _ in table}
+
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for doc, found in held.items():
+        for x in found:
+            if doc is not None and (k := keeper[root(x)]) is not None and top(doc) != top(k):
+                group[max(top(doc), top(k))] = min(top(doc), top(k))
+    return [(doc, 0 if text is None else text.count("\n") + 1, kept[doc], top(doc), sum(degree[x] for x in held.get(doc, []))) for doc, text in table]
 
 
 def test_line_dedup(spark):
     rng = random.Random(6)
-    pool = [words(5, 900 + i) + " é" * (i % 3) for i in range(30)] + ["short", "tiny one", ""]
+    pool = [words(5, 900 + i) + " é" * (i % 3) for i in range(30)] + ["short", "tiny one", "", "eight ch", "fifteen charact", "sixteen characte"]
     table = []
     for doc in [*range(25), None]:
         text = []
@@ -388,7 +396,7 @@ def test_line_dedup(spark):
             line = rng.choice(pool)
             if line and rng.random() < 0.5:
                 k = rng.randrange(len(line))
-                line = rng.choice([line[:k] + line[k + 1 :], line[:k] + "z" + line[k:], line[:k] + "é" + line[k + 1 :], f" {line}\t", line])
+                line = rng.choice([line[:k] + line[k + 1 :], line[:k] + "z" + line[k:], line[:k] + "é" + line[k + 1 :], line[:k] + "éz" + line[k:], line[1:k] + "q" + line[k:], f" {line}\t", line])
             text.append(line)
         table.append((doc, "\n".join(text)))
     table += [(90, None), (91, ""), (92, "\n \n")]
@@ -418,23 +426,60 @@ def test_bit_parallel_distance(spark):
         assert wrong.count() == 0
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_segments_miss_no_pair(spark, edits):
-    rng = random.Random(edits)
-    base = ["".join(rng.choice("ab") for _ in range(rng.randrange(16, 24))) for _ in range(40)]
-    more = []
-    for x in base:
+def near_lines(rng, n, letters="ab", lengths=(6, 26), edits=2, prefix="", suffix=""):
+    """Lines and edited ones of theirs, with what they have in common before and behind."""
+    out = []
+    for _ in range(n):
+        x = "".join(rng.choice(letters) for _ in range(rng.randrange(*lengths)))
         y = list(x)
         for _ in range(edits):
             k = rng.randrange(len(y) + 1)
-            y[k : k + rng.randrange(2)] = rng.choice([[], ["a"], ["b"]])
-        more.append("".join(y))
-    docs = documents(spark, [(i, x) for i, x in enumerate(base + more)])
-    found = {tuple(sorted((tuple(r.a), tuple(r.b)))) for r in lines.links(docs, lines.distinct_lines(docs, edits), edits).collect()}
+            y[k : k + rng.randrange(2)] = rng.choice([[], [letters[0]], [letters[1]]])
+        out += [prefix + x + suffix, prefix + "".join(y) + suffix]
+    return out
+
+
+def linked_lines(spark, texts, rule):
+    """The operator's links, and those of all pairs."""
+    docs = documents(spark, list(enumerate(texts)))
+    found = {tuple(sorted((tuple(r.a), tuple(r.b)))) for r in lines.links(docs, lines.distinct_lines(docs, rule), rule).collect()}
     every = lines.occurrences(docs).select("line", F.struct("h1", "h2").alias("id")).distinct()
     a, b = every.toDF("x", "a"), every.toDF("y", "b")
-    want = a.crossJoin(b).where((F.col("a") < F.col("b")) & (F.levenshtein("x", "y") <= edits) & (F.length("x") >= 16) & (F.length("y") >= 16))
-    assert found == {tuple(sorted((tuple(r.a), tuple(r.b)))) for r in want.collect()}
+    want = a.crossJoin(b).where((F.col("a") < F.col("b")) & (F.levenshtein("x", "y") <= lines.allowed(F.least(F.length("x"), F.length("y")), rule)))
+    return found, {tuple(sorted((tuple(r.a), tuple(r.b)))) for r in want.collect()}
+
+
+@pytest.mark.parametrize("rule", [(16,), (8, 16), (3, 9, 14)])
+def test_segments_miss_no_pair(spark, rule):
+    found, want = linked_lines(spark, near_lines(random.Random(len(rule)), 60, edits=len(rule)), rule)
+    assert found == want and len(want) > 10
+
+
+def test_common_segments_miss_no_pair(spark, monkeypatch):
+    """The same where all keys of several lines are refined, to the last level, and lines share their starts or ends."""
+    for name in ("SAMPLED", "HOT_SAMPLE"):
+        monkeypatch.setattr(lines, name, 1 if name == "SAMPLED" else 2)
+    monkeypatch.setattr(lines, "HOT", 3)
+    rng = random.Random(4)
+    texts = near_lines(rng, 40) + near_lines(rng, 40, prefix="2024-01-01 12:00:00 ") + near_lines(rng, 30, suffix=" all rights reserved")
+    found, want = linked_lines(spark, texts, lines.RULE)
+    assert found == want and len(want) > 50
+
+
+def test_common_segment_makes_no_pairs_of_all(spark):
+    """Lines with one common half: candidates are in proportion to lines, of which a few are near copies."""
+    rng = random.Random(2)
+    other = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))
+    common, made = other(), {}
+    for n in (3000, 6000):
+        texts = [common + other() for _ in range(n)]
+        texts += [t[:70] + "#" + t[71:] for t in texts[:20]]
+        docs = documents(spark, list(enumerate(texts)))
+        known = lines.distinct_lines(docs).cache()
+        pairs = lines.candidates(docs, known).cache()
+        made[n] = pairs.count()
+        assert lines.links(docs, known).count() == 20
+    assert all(20 <= m <= 2 * n for n, m in made.items())
 
 
 # 7
