@@ -10,7 +10,9 @@ A bin without enough k-mers uses those it has, and an empty one a constant; like
 bins that are filled on either side, so short texts are compared by what they have.
 
 Defined results. Null text is an empty one. Texts shorter than a k-mer are one k-mer. Equal texts
-have equal fingerprints; two empty texts have likeness 1.
+have equal fingerprints; two empty texts have likeness 1. Texts of any length have one rule. Null doc_ids
+come first; rows that share a doc_id follow each other by their texts. The next document of a single one is
+itself; an empty table makes no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm._shared import arrow_batches, id_ranges, range_of
+from nearfield.llm._shared import arrow_batches, id_ranges
 
 #: Code points of a k-mer, k-mers of a tuple, tuples of a fingerprint, bytes kept of each tuple's hash.
 K, TUPLE, BINS, KEPT = 16, 2, 64, 3
-#: Documents of a range of ids.
-RANGE_ROWS = 2000
+#: Documents of a range of ids, unless the ranges would be too many.
+RANGE_ROWS = 20_000
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -124,14 +126,15 @@ def with_next(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     document of the next range (``ahead``); the last range ends with the table's first document.
 
     Only one shuffle moves texts. What it needs of the table beforehand are the ids alone: the bounds of the
-    ranges and the least id in each. Null ids come first; equal ids are in the order of their texts.
+    ranges and the least id in each. Null ids come first; equal ids are in the order of their texts, those of
+    an id that has several parts in the order of the parts.
     """
-    bounds, least = id_ranges(docs, "doc_id", rows)
-    ranges = len(bounds) + 1
+    known = id_ranges(docs, "doc_id", rows)
+    ranges = len(known.leads)
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    placed = placed.withColumn("part", range_of(F.col("doc_id"), bounds))
+    placed = placed.withColumn("part", known.part(F.col("doc_id"), F.col("text")))
     # A document that may be the first of its range goes to the range before as well; the last is before the first.
-    leads = F.from_json(F.lit(json.dumps([least, *bounds])), "array<bigint>")
+    leads = F.from_json(F.lit(json.dumps(known.leads)), "array<bigint>")
     copies = F.array(F.struct(F.col("part"), F.lit(False).alias("ahead")))
     before = F.pmod(F.col("part") + (ranges - 1), F.lit(ranges)).cast("int")
     ahead = F.array(F.struct(before.alias("part"), F.lit(True).alias("ahead")))

@@ -10,7 +10,9 @@ Records follow each other in ascending doc_id, file by file: documents are dealt
 each range is one partition and its part number is in every header.
 
 Defined results. Null text is an empty one, so its only id is the end id. Null doc_ids come first;
-equal ones are in the order of their texts. An empty table makes no files and no rows.
+equal ones are in the order of their texts, an id that fills several ranges in the order of its parts. An empty
+table makes no files and no rows. Texts may be of any length: a record ends with the document that fills it.
+Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearfield.llm._files import read_files, write_records
-from nearfield.llm._shared import arrow_batches, id_ranges, new_path, range_of, stage
+from nearfield.llm._shared import arrow_batches, id_ranges, new_path, stage
 
 #: Fixed by the format: ids of a word by selector, bits of each, end mark of a record.
 COUNTS = np.array([1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 MAGIC, END = b"NF8B", "\r\nNF8E\r\n"
 #: Ids of a block, ids of a record, records of a file, documents of a range of ids.
-BLOCK, RECORD, FILE_RECORDS, RANGE_ROWS = 1024, 1 << 19, 16, 2000
+BLOCK, RECORD, FILE_RECORDS, RANGE_ROWS = 1024, 1 << 19, 16, 20_000
 #: The id that ends each document, and the tokenizer file.
 END_ID, TOKENIZER = 2, "byte_bpe_50k.json"
 
@@ -235,9 +237,9 @@ def encoder(name: str) -> Encoder:
 def write(docs: DataFrame, path: str, *, tokenizer: str = TOKENIZER, end_id: int = END_ID, rows: int = RANGE_ROWS) -> None:
     """Encodes the texts and writes the files. Texts are shuffled once, by range of id."""
     arrow_batches(docs.sparkSession)
-    bounds, _ = id_ranges(docs, "doc_id", rows)
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), range_of(F.col("doc_id"), bounds).alias("part"))
-    dealt = placed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ranges = id_ranges(docs, "doc_id", rows)
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), ranges.part(F.col("doc_id"), F.col("text").cast("binary")).alias("part"))
+    dealt = placed.repartitionById(len(ranges.leads), F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, before = encoder(tokenizer), 0
@@ -301,7 +303,7 @@ def digest(docs: DataFrame) -> DataFrame:
     if not any(True for _ in _parts(spark, path)):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     rows = stage(read(spark, path), "token-rows")
-    # One row a part in this window; parts have some thousand documents each.
+    # One row a part in this window, of which there are MOST_RANGES or little more at most.
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = totals.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
     return rows.join(base, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

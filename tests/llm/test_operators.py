@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from nearfield.llm import _shared as shared
 from nearfield.llm import components, decontaminate, fingerprint, language, lines, mixing, neardup, quality, queries, tokens, unigram, warc
 from tests.llm.conftest import SCHEMA, documents, words
 from tests.oracle import rows, same
@@ -226,10 +227,30 @@ def test_order_matters(spark):
     assert alone.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and alone.near_next == 1
 
 
+@pytest.mark.parametrize("heavy", [None, 7])
+def test_ranges_of_a_heavy_id(spark, heavy):
+    """An id, or null, that a third of all rows share is split by texts; files and neighbours stay in order."""
+    table = [(heavy, words(5 + i % 7, i)) for i in range(200)] + [(10 + i, words(4, 500 + i)) for i in range(380)] + [(3, "same text")] * 9
+    docs = documents(spark, table)
+    ranges = shared.id_ranges(docs, "doc_id", 20)
+    placed = docs.select("doc_id", "text", ranges.part(F.col("doc_id"), F.col("text").cast("binary")).alias("part")).collect()
+    held = Counter(r.part for r in placed)
+    assert set(held) == set(range(len(ranges.leads))) and max(held.values()) < 80
+    assert all(ranges.leads[p] == min((r.doc_id for r in placed if r.part == p), key=lambda d: (d is None, d or 0)) for p in held)
+    part = {(r.doc_id, r.text): r.part for r in placed}
+    order = sorted(table, key=lambda r: (part[r], r[0] is not None, r[0] or 0, r[1].encode()))
+    assert [r[0] for r in order] == [r[0] for r in sorted(order, key=lambda r: (r[0] is not None, r[0] or 0))]
+    want = Counter((doc, hashlib.sha256((t[: len(t) - len(t) // 4] + order[(i + 1) % len(order)][1][: len(t) // 4]).encode()).hexdigest()) for i, (doc, t) in enumerate(order))
+    dealt = fingerprint.with_next(docs, 20)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(fingerprint, "with_next", lambda d, rows=None: dealt)
+        assert Counter((r.doc_id, r.edited_sha256) for r in fingerprint.fingerprints(docs).collect()) == want
+
+
 # 5
 
 
-def plain_components(table):
+def plain_components(table, link=85):
     sets = []
     for _, text in table:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -244,7 +265,7 @@ def plain_components(table):
 
     for i in range(len(table)):
         for j in range(i):
-            if table[i][0] is not None and table[j][0] is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if table[i][0] is not None and table[j][0] is not None and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= link * len(sets[i] | sets[j]):
                 parent[root(i)] = root(j)
     least = {}
     for i, (doc, _) in enumerate(table):

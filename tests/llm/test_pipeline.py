@@ -1,6 +1,7 @@
 """The pipeline against plain versions of its stages."""
 
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 from nearfield.llm import decontaminate, mixing, tokens
@@ -31,7 +32,7 @@ def test_stages_take_effect(spark, tmp_path):
     left = {r.doc_id for r in known.collect()}
     assert left == set(text) - {300, 301, 302}
     single = stages["near_dedup"](spark, known, sf)
-    assert {r.doc_id for r in single.collect()} == {d for d, _, c in plain_components([(d, text[d]) for d in sorted(left)]) if d == c}
+    assert {r.doc_id for r in single.collect()} == {d for d, _, c in plain_components([(d, text[d]) for d in sorted(left)], 80) if d == c}
     clean = stages["decontamination"](spark, single, sf)
     assert clean.columns == docs.columns
     bad = {d for d, *_, c in plain_scan([(r.doc_id, r.text) for r in single.collect()], items) if c}
@@ -50,6 +51,18 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, encoded.collect()))
 
 
+def test_pipeline_leaves_its_result_only(spark, tmp_path):
+    from nearfield.llm._shared import shared_dir
+
+    docs, _ = corpus(spark)
+    spark.createDataFrame([(1, words(20, 777))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} == {"pipeline-token_files"} and out.count() > 0
+
+
 def test_pipeline_on_nothing(spark, tmp_path):
     docs, _ = corpus(spark)
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
