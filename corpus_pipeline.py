@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import decontaminate, language, mixing, neardup, tokens
-from nearfield.llm._shared import held_out, stage
+from nearfield.llm._shared import discard, held_out, scratch, stage
+
+#: Similarity of word shingles, in hundredths, from which documents are near-duplicates here.
+LINK = 80
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +26,21 @@ def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicate(docs)
+    return neardup.deduplicate(docs, LINK)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """With n_chars in step with texts that were cut."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else docs
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
+    return _counted(clean)
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs)
-    return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else mixed
+    return _counted(mixing.mix(docs))
 
 
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +60,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each is written as Parquet in the shared folder and read again.
+
+    What a stage has staged goes when it is written, and its input too, so that only the result stays. Null texts
+    and empty ones go in the first stage, as they have no language; rows that share a doc_id are documents
+    of their own; an empty table makes no rows; texts may be of any length, and columns of any name stay.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as made:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            written = made.pop()  # the last folder made is that of the stage itself
+        if before:
+            discard(spark, before)
+        before = written
     return docs
