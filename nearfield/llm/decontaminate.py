@@ -3,13 +3,15 @@
 A broadcast hash set holds the word n-grams of the benchmark. Documents stream past it; a rolling
 hash proposes positions and the word ids of each are compared, so that no hash collision counts.
 
-The set is broadcast only while it has at most ``MAX_WINDOWS`` windows. Beyond that the windows and
-the documents' n-grams meet in a shuffled join on 128 hash bits.
+The set is broadcast only while it has at most ``MAX_WINDOWS`` windows. Beyond that a bitmap of fixed size
+is, which keeps nearly all n-grams that no item has from the shuffle; the others and the windows meet in
+a join on 128 hash bits.
 
 Defined results. Null or wordless text: no words, nothing hit. Items without words have no
 windows; items with a null id are left out. Several rows of one item_id are one item. Equal
-document rows each get their own row. An empty benchmark hits nothing. Documents may hold any
-further columns; columns named like results are replaced by them.
+document rows each get their own row, so do rows that share a doc_id or have none. An empty benchmark hits
+nothing, an empty table of documents makes no rows. Texts may be of any length: time and memory are in
+proportion to them. Columns of any name stay as they are in `decontaminate`; `scan` reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -21,13 +23,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm._shared import arrow_batches
+from nearfield.llm._shared import arrow_batches, private, stage
+from nearfield.llm.neardup import Shingler
 
-#: Words of a window, and the words (so windows at most, some 500 bytes each in a worker) that a broadcast may hold.
+#: Words of a window, and the windows (some 500 bytes each in a worker) that a broadcast may hold.
 WINDOW, MAX_WINDOWS = 8, 200_000
+#: Bits of the bitmap of windows where they are more.
+BITMAP = 1 << 27
 #: Items from which a document counts as contaminated.
 MIN_ITEMS = 2
 
@@ -136,6 +142,11 @@ def items_digest(items: Iterable[object]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
+def _n_words(text: Column) -> Column:
+    folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.coalesce(F.regexp_count(folded, F.lit(WORD)), F.lit(0))
+
+
 def _item_texts(benchmark: DataFrame) -> DataFrame:
     return benchmark.where(F.col("item_id").isNotNull()).select("item_id", F.col("text").cast("binary").alias("text"))
 
@@ -143,8 +154,7 @@ def _item_texts(benchmark: DataFrame) -> DataFrame:
 def window_set(spark: SparkSession, benchmark: DataFrame, n: int, max_windows: int) -> WindowSet | None:
     """The set of windows, or None if there may be more than a broadcast should hold."""
     items = _item_texts(benchmark)
-    # A word and the gap after it take two bytes at least.
-    bound = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) / 2 + 1)).first()[0] or 0
+    bound = items.agg(F.sum(F.greatest(F.lit(1), _n_words(F.col("text").cast("string")) - n + 1))).first()[0] or 0
     if bound > max_windows:
         return None
     return WindowSet(((r[0], None if r[1] is None else bytes(r[1])) for r in items.collect()), n)
@@ -163,7 +173,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, min_items: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     known = window_set(spark, benchmark, n, max_windows)
     if known is None:
-        return _scan_by_join(texts, benchmark, n, min_items).drop("row")
+        return _scan_by_join(texts, benchmark, n, min_items)
     shared = spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,23 +195,49 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, min_items: i
     return texts.mapInArrow(run, SCHEMA)
 
 
-def _grams(texts: DataFrame, key: str, n: int, lengths: list[int], whole: bool) -> DataFrame:
-    """Every n-gram of the given lengths as (key, position, length, 128-bit digest)."""
+def _codes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A place in the bitmap for each n-gram, from the hashes of words."""
+    out = np.full(max(0, len(hashes) - length + 1), length, np.uint64)
+    for k in range(length):
+        out = out * _MULTIPLIER + hashes[k : k + len(out)]
+    out ^= out >> np.uint64(32)
+    return (out * _MULTIPLIER) >> np.uint64(64 - (BITMAP.bit_length() - 1))
+
+
+def _grams(texts: DataFrame, key: str, n: int, lengths: list[int] | None, bits: Broadcast | None = None) -> DataFrame:
+    """The n-grams (key, at, length, 128-bit digest, code) of texts: an item's windows if `lengths` is None, else
+    those of these lengths that have their bit set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        known = None if bits is None else np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").view(bool)
         for batch in batches:
+            kind = batch.column(0).type
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = words(t)
-                for length in ([min(n, len(w))] if whole and w else [] if whole else lengths):
-                    at = range(len(w) - length + 1)
-                    if at:
+                hashes = shingler._words(w) if w else np.zeros(0, np.uint64)
+                for length in lengths if lengths is not None else [min(n, len(w))] if w else []:
+                    codes = _codes(hashes, length)
+                    places = np.flatnonzero(known[codes]) if known is not None else np.arange(len(codes))
+                    for a in range(0, len(places), 1 << 16):
+                        at = places[a : a + (1 << 16)]
+                        digests = [hashlib.md5(b" ".join(w[i : i + length])).digest() for i in at.tolist()]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([k] * len(at), batch.column(0).type), pa.array(at, pa.int64()), pa.array([length] * len(at), pa.int64()), pa.array([hashlib.md5(b" ".join(w[i : i + length])).digest() for i in at], pa.binary())],
-                            names=["key", "at", "length", "digest"],
+                            [pa.array([k] * len(at), kind), pa.array(at, pa.int64()), pa.array([length] * len(at), pa.int64()), pa.array(digests, pa.binary()), pa.array(codes[at].astype(np.int64))],
+                            names=["key", "at", "length", "digest", "code"],
                         )
 
     kind = dict(texts.dtypes)[key]
-    return texts.select(key, "text").mapInArrow(run, f"key {kind}, at long, length long, digest binary")
+    return texts.select(key, "text").mapInArrow(run, f"key {kind}, at long, length long, digest binary, code long")
+
+
+def _bitmap(wanted: DataFrame) -> bytes:
+    """The bits of all windows' codes; the driver gets a row for each byte with a bit set, BITMAP / 8 at most."""
+    out = np.zeros(BITMAP >> 3, np.uint8)
+    byte, bit = F.call_function("shiftright", F.col("code"), F.lit(3)), F.call_function("shiftleft", F.lit(1), (F.col("code") % 8).cast("int"))
+    rows = wanted.groupBy(byte.alias("byte")).agg(F.bit_or(bit).cast("int").alias("bits")).toArrow()
+    out[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint8)
+    return out.tobytes()
 
 
 def _row_key() -> Column:
@@ -209,29 +245,55 @@ def _row_key() -> Column:
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")))
 
 
+_SPANS = "array<struct<first:long,after:long>>"
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """(row, items, n_hit, spans): runs of a document's hit words, from the places and lengths of its hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_hit, spans = [], []
+            for runs in batch.column(2).to_pylist():
+                first = np.array([r["at"] for r in runs])
+                after = first + np.array([r["length"] for r in runs])
+                order = np.argsort(first, kind="stable")
+                first, reach = first[order], np.maximum.accumulate(after[order])
+                begins = np.flatnonzero(np.concatenate(([True], first[1:] > reach[:-1])))
+                a, b = first[begins], reach[np.append(begins[1:] - 1, len(first) - 1)]
+                n_hit.append(int((b - a).sum()))
+                spans.append([{"first": x, "after": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(spans, kind)], names=["row", "items", "n_hit", "spans"])
+
+    return found.select("row", "items", "runs").mapInArrow(run, f"row string, items array<string>, n_hit long, spans {_SPANS}")
+
+
+def _hits(rows: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """(row, items, n_hit, spans) of the rows that share a window with the benchmark, by their key `row`."""
+    spark = rows.sparkSession
+    wanted = stage(_grams(_item_texts(benchmark), "item_id", n, None).select(F.col("key").alias("item_id"), "length", "digest", "code").distinct(), "decontaminate-windows")
+    lengths = sorted(r[0] for r in wanted.select("length").distinct().collect())  # n at most
+    bits = spark.sparkContext.broadcast(_bitmap(wanted.select("code").distinct()))
+    grams = _grams(rows, "row", n, lengths, bits).select(F.col("key").alias("row"), "at", "length", "digest").distinct()
+    met = stage(grams.join(wanted.select("length", "digest").distinct(), ["length", "digest"]), "decontaminate-hits")
+    # Windows that many items hold meet documents once each, without their places.
+    items = met.select("row", "length", "digest").distinct().join(wanted.select("item_id", "length", "digest"), ["length", "digest"])
+    items = items.select("row", F.col("item_id").cast("string").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))  # the items of one document
+    runs = met.groupBy("row").agg(F.collect_list(F.struct("at", "length")).alias("runs"))  # the places of one document
+    return _merged(items.join(runs, "row"))
+
+
 def _scan_by_join(texts: DataFrame, benchmark: DataFrame, n: int, min_items: int) -> DataFrame:
     """The same result for a benchmark of any size; AQE splits windows that many documents hold."""
     rows = texts.withColumn("row", _row_key())
-    items = _item_texts(benchmark)
-    wanted = _grams(items, "item_id", n, [], True).select(F.col("key").alias("item_id"), "length", "digest").distinct()
-    lengths = sorted(r[0] for r in wanted.select("length").distinct().collect())  # n at most
-    hits = _grams(rows, "row", n, lengths, False).join(wanted, ["length", "digest"])
-    found = hits.groupBy("key").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"), F.collect_set(F.struct("at", "length")).alias("runs"))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["length"] - 1)))))
-    firsts = F.filter("covered", lambda p: ~F.array_contains("covered", p - 1))
-    lasts = F.filter("covered", lambda p: ~F.array_contains("covered", p + 1))
-    found = found.withColumn("covered", covered).select(
-        F.col("key").alias("row"), "items", F.size("covered").cast("long").alias("n_hit"),
-        F.arrays_zip(firsts.alias("first"), F.transform(lasts, lambda p: p + 1).alias("after")).alias("spans"),
-    )
-    folded = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    counted = rows.select("doc_id", "row", F.coalesce(F.regexp_count(folded, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    n_items = F.coalesce(F.size("items"), F.lit(0))
-    n_items = F.when(F.col("items").isNull(), 0).otherwise(n_items).cast("long")
+    found = _hits(rows, benchmark, n)
+    counted = rows.select("doc_id", "row", _n_words(F.col("text").cast("string")).cast("long").alias("n_words"))
+    n_items = F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long")
     return counted.join(found, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(F.coalesce("items", F.array().cast("array<string>"))), ","), 256).alias("items_sha256"),
-        (n_items >= min_items).alias("contaminated"), F.coalesce("spans", F.array().cast("array<struct<first:long,after:long>>")).alias("spans"), "row",
+        F.sha2(F.array_join(F.coalesce("items", F.array().cast("array<string>")), ","), 256).alias("items_sha256"),
+        (n_items >= min_items).alias("contaminated"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"),
     )
 
 
@@ -239,20 +301,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, min
     """The documents without contaminated ones; the others lose the hit spans. Columns stay as they are.
 
     Where the benchmark exceeds the broadcast bound, the spans come from the join and are brought
-    back to the documents by id and text.
+    back to the documents by id and text, so both ways give the same rows.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     known = window_set(spark, benchmark, n, max_windows)
+    at = docs.columns.index("text")
     if known is None:
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-        # Rows of one key have equal texts, so any of their spans serves.
-        hit = _scan_by_join(texts, benchmark, n, min_items).where("n_items > 0").groupBy(F.col("row").alias("_key")).agg(F.max("contaminated").alias("_bad"), F.first("spans").alias("_spans"))
-        cutter = F.udf(lambda t, s: cut(t, [(x["first"], x["after"]) for x in s]) if s else t, "string")
-        kept = docs.withColumn("_row", _row_key()).join(hit, F.col("_row") == F.col("_key"), "left").where("_bad is null or not _bad")
-        return kept.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cutter("text", "_spans"))).select(*docs.columns)
+        name = private(docs)
+        keyed = docs.withColumn(name("row"), _row_key())
+        # Rows of one key have equal texts, and so equal spans.
+        found = _hits(keyed.select(F.col(name("row")).alias("row"), F.col("text").cast("binary").alias("text")), benchmark, n)
+        hit = found.select(F.col("row").alias(name("of")), (F.size("items") >= min_items).alias(name("bad")), F.col("spans").alias(name("spans")))
+        kept = keyed.join(hit, F.col(name("row")) == F.col(name("of")), "left").where(F.col(name("bad")).isNull() | ~F.col(name("bad")))
+
+        def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans = batch.column(batch.num_columns - 1).to_pylist()
+                clean = [cut(t, [(x["first"], x["after"]) for x in s]) if s else t for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
+                yield batch.select(list(range(batch.num_columns - 1)))
+
+        return kept.select(*docs.columns, name("spans")).mapInArrow(cut_spans, docs.schema)
     shared = spark.sparkContext.broadcast(known)
-    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -81,11 +81,24 @@ def test_both_bounds_clean_alike(spark):
     bad = f"{one} . {two}"
     table = [(None, bad), (None, f"{plain} {one}"), (None, plain), (None, None), (5, bad), (5, plain), (6, f"{plain} {one} {plain}"), (6, "short"), (6, f"{two} {plain}"), (7, f"{one} end"), (7, f"{one} end"), (8, None)]
     docs = documents(spark, table)
+    for name in ("_gone", "_key", "_row", "_spans", "_nf", "_nf_spans", "row", "items"):
+        docs = docs.withColumn(name, F.col("n_chars"))
     key = lambda r: tuple(map(str, r))
     broadcast, joined = (sorted((tuple(r) for r in decontaminate.decontaminate(docs, bench, max_windows=bound).collect()), key=key) for bound in (decontaminate.MAX_WINDOWS, 0))
     assert broadcast == joined and len(joined) == len(table) - 2
 
 
+def test_join_on_large_texts_is_linear(spark):
+    """Hit words far apart in a long text, windows that all items hold, overlapping runs; against the broadcast set."""
+    common = words(9, 4000)
+    items = [(i, f"{common} {words(12, 600 + i)}") for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    long = " ".join(f"{words(300, 900 + i, 9000)} {items[i % 40][1] if i % 3 else common}" for i in range(200))
+    docs = documents(spark, [(1, long), (2, common), (3, common), (4, words(400, 5, 9000)), (5, None)])
+    got = [sorted(str(tuple(r)) for r in decontaminate.scan(docs, bench, max_windows=b).collect()) for b in (decontaminate.MAX_WINDOWS, 0)]
+    assert got[0] == got[1] and "40" in got[0][0]
+
+
 def test_cut_removes_runs():
     assert decontaminate.cut("Keep this, DROP: that now. End", [(2, 4)]) == "Keep this,  now. End"
 
