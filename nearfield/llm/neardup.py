@@ -10,15 +10,19 @@ off. Pairs that may be linked by their sizes and sketches are confirmed on the f
 
 A bucket may hold thousands of near copies, so its pairs are not all made. First each member is paired
 with one hub, and confirmed links give members the label of their hub. Pairs under one label need no
-comparison; hub rounds go on while they make the other pairs markedly fewer. Then all pairs of
-a bucket under different labels are compared, sketches inside the join, so that only pairs that pass
-leave it, and no link that a bucket holds is missed.
+comparison; hub rounds go on while they make the other pairs markedly fewer. Then the pairs of a bucket of
+at most ``MEMBERS`` members under different labels are compared, sketches inside the join, so that only pairs
+that pass leave it. Members of larger buckets (a template that thousands of unlike texts share) meet
+by their rarest shingles instead: sets of similarity t have a shingle in common among the (1 - t) share of
+theirs that comes first in any one order of all shingles, so with rare ones first the common ones never make
+pairs. That search is exact, so no link that a bucket holds is missed.
 
 Two sets at a threshold of 0.85 share no band with probability (1 - 0.85**4)**20 = 4e-7; at 0.8, with 3e-5.
 
 Defined results. Null, empty and blank texts have no shingles and are linked with nothing; neither
 are rows with a null doc_id, whose component is null and which are kept. Rows that share a doc_id are
-linked by their own texts and get the component of their own class. An empty table makes no rows.
+linked by their own texts and get the component of their own class. An empty table makes no rows. Texts may be
+of any length: sets are compared whole. Columns of any name stay as they are in `deduplicate`.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm._shared import arrow_batches, drop_staged, stage
+from nearfield.llm._shared import arrow_batches, drop_staged, private, stage
 from nearfield.llm.components import components
 
 #: Words of a shingle; link if 100 * intersection >= link * union, with LINK where nothing else is said (op5).
@@ -51,6 +55,8 @@ def most_bits(samples: int = SAMPLES, bits: int = SKETCH_BITS, link: int = LINK)
 
 #: Hub rounds at most, and the share of pairs that a round must leave or less for another one to follow.
 MOST_ROUNDS, WORTH = 8, 0.7
+#: Members of a bucket whose pairs are all compared; bits of a shingle by which its kind is counted.
+MEMBERS, COUNT_BITS = 64, 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -185,10 +191,7 @@ def _hub_pairs(entries: DataFrame, sets: DataFrame, turn: int, link: int) -> Dat
     rank = F.xxhash64("node", F.lit(turn))
     least = F.min(F.struct(rank.alias("rank"), "node", "label"))
     hubs = stage(entries.groupBy("bucket").agg(least.alias("h")).select(F.col("bucket").alias("of"), F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label")), "nd-hubs")
-    pairs = entries.join(hubs, F.col("bucket") == F.col("of")).where("label != hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    for side in ("b", "a"):
-        pairs = pairs.join(sets.select(F.col("class_key").alias(f"{side}_key"), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), F.col(side) == F.col(f"{side}_key")).drop(f"{side}_key")
-    return pairs.where(_alike("a_", "b_", link)).select("a", "b")
+    return _sketched(entries.join(hubs, F.col("bucket") == F.col("of")).where("label != hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets, link)
 
 
 def _all_pairs(entries: DataFrame, sets: DataFrame, nodes: DataFrame, link: int) -> DataFrame:
@@ -206,6 +209,47 @@ def _all_pairs(entries: DataFrame, sets: DataFrame, nodes: DataFrame, link: int)
     return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
+def _rare_pairs(entries: DataFrame, sets: DataFrame, link: int) -> DataFrame:
+    """Pairs (a, b) of members with different labels that have one of their rarest shingles in common.
+
+    What is rare is told by a table of fixed size, counts of shingles by their first bits; any order would be exact.
+    """
+    spark = entries.sparkSession
+    members = stage(entries.select("node", "label").distinct(), "nd-members")
+    known = sets.join(members, F.col("class_key") == F.col("node")).select("node", "label", "n", "shingles")
+    slot = F.call_function("shiftrightunsigned", F.col("shingle"), F.lit(64 - COUNT_BITS))
+    rows = known.select(F.explode("shingles").alias("shingle")).select(slot.alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toArrow()  # 2**COUNT_BITS at most
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(3)
+            values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+            firsts = []
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                x = values[a:b]
+                firsts.append(x[np.lexsort((x, shared.value[x >> np.uint64(64 - COUNT_BITS)]))[: len(x) - -(-len(x) * link // 100) + 1]])
+            own = np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), *(batch.column(i).take(pa.array(own)) for i in range(3))], names=["token", "node", "label", "n"])
+
+    tokens = stage(known.mapInArrow(run, "token long, node binary, label binary, n long"), "nd-tokens")
+    several = tokens.groupBy(F.col("token").alias("of")).agg(F.count("*").alias("times")).where("times > 1").select("of")
+    tokens = stage(tokens.join(several, F.col("token") == F.col("of")).drop("of"), "nd-met")
+    a, b = (tokens.select(*[F.col(c).alias(f"{side}_{c}") for c in tokens.columns]) for side in "ab")
+    alike = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * link
+    met = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & alike)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
+    """The pairs (a, b) that may be linked by their sizes and sketches."""
+    for side in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("class_key").alias(f"{side}_key"), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), F.col(side) == F.col(f"{side}_key")).drop(f"{side}_key")
+    return pairs.where(_alike("a_", "b_", link)).select("a", "b")
+
+
 def _relabelled(entries: DataFrame, links: DataFrame) -> DataFrame:
     """The entries after a hub round: a label of which a member is linked with a hub becomes the hub's label.
 
@@ -223,7 +267,7 @@ def _open(entries: DataFrame) -> tuple[DataFrame, int]:
     sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy(F.col("bucket").alias("of")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels")).where("labels > 1")
     sizes = stage(sizes, "nd-sizes")
     pairs = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0))).first()[0]
-    return known.join(sizes.select("of"), F.col("bucket") == F.col("of")).drop("of"), int(pairs)
+    return known.join(sizes.select("of", F.col("n").alias("members")), F.col("bucket") == F.col("of")).drop("of"), int(pairs)
 
 
 def _links(opened: DataFrame, pairs: int, sets: DataFrame, nodes: DataFrame, link: int) -> DataFrame:
@@ -235,7 +279,13 @@ def _links(opened: DataFrame, pairs: int, sets: DataFrame, nodes: DataFrame, lin
         before, (opened, pairs) = pairs, _open(_relabelled(opened, found))
         if pairs > WORTH * before or not pairs:
             break
-    return links.unionByName(stage(_confirmed(_all_pairs(opened, sets, nodes, link), sets, link), "nd-links")) if pairs else links
+    if not pairs:
+        return links
+    few, many = opened.where(F.col("members") <= MEMBERS).drop("members"), opened.where(F.col("members") > MEMBERS)
+    links = links.unionByName(stage(_confirmed(_all_pairs(few, sets, nodes, link), sets, link), "nd-links"))
+    if not many.isEmpty():
+        links = links.unionByName(stage(_confirmed(_sketched(_rare_pairs(many, sets, link), sets, link), sets, link), "nd-links"))
+    return links
 
 
 def classes(docs: DataFrame, link: int = LINK) -> tuple[DataFrame, DataFrame]:
@@ -272,5 +322,6 @@ def near_duplicates(docs: DataFrame, link: int = LINK) -> DataFrame:
 
 def deduplicate(docs: DataFrame, link: int = LINK) -> DataFrame:
     """The documents that are kept: one of each component, the one with the least doc_id."""
-    gone = near_duplicates(docs, link).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    of = private(docs)("of")
+    gone = near_duplicates(docs, link).where("not kept").select(F.col("doc_id").alias(of)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(of), "left_anti")
