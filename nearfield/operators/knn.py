@@ -3,7 +3,8 @@
 One query is a projection and a top-k, which Spark runs as TakeOrderedAndProject: each task keeps k
 rows. Many queries run as blocks: a query block goes to all tasks once, each Arrow batch is scored
 against it as a matrix, and only the k best of a batch for each query are shuffled. Ties are broken by
-id, and distances that are not numbers come last.
+id, and distances that are not numbers come last. In blocks, records without a vector are left out, a vector
+of another length is an error, and so is a query without one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.errors import DimensionMismatch
+from nearfield.errors import DimensionMismatch, EmptyVector
 from nearfield.functions.metrics import Distance, Metric, cosine, distance, norm, vector
 
 #: Bytes of the queries that are sent to all tasks at once; bytes of the distances of one batch.
@@ -80,21 +81,18 @@ def nearest_for_each(records: DataFrame, queries: DataFrame, k: int, metric: str
 def _query_blocks(queries: DataFrame, query_id: str, query_vector: str) -> Iterator[tuple[list, np.ndarray]]:
     """Streams the queries through the driver, a block at a time."""
     ids, rows = [], []
-    for r in queries.select(query_id, query_vector).toLocalIterator():
+    for r in queries.select(query_id, F.col(query_vector).cast("array<double>").alias(query_vector)).toLocalIterator():
+        if not r[1]:
+            raise EmptyVector
         ids.append(r[0])
-        rows.append(r[1])
-        if 8 * len(ids) * max(1, len(r[1])) >= QUERY_BYTES:
-            yield ids, _grid(rows)
+        rows.append(np.array(r[1], np.float64))  # a null element is NaN
+        if len(rows[-1]) != len(rows[0]):
+            raise DimensionMismatch(len(rows[0]), len(rows[-1]))
+        if 8 * len(ids) * len(rows[0]) >= QUERY_BYTES:
+            yield ids, np.stack(rows)
             ids, rows = [], []
     if ids:
-        yield ids, _grid(rows)
-
-
-def _grid(rows: list) -> np.ndarray:
-    for r in rows:
-        if len(r) != len(rows[0]):
-            raise DimensionMismatch(len(rows[0]), len(r))
-    return np.array(rows, np.float64)
+        yield ids, np.stack(rows)
 
 
 def distances(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
@@ -118,32 +116,58 @@ def distances(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
     return out
 
 
+def _slack(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
+    """For each query, how far apart the distances of distances() and those of _exact() can be at most, by rounding.
+
+    For the Euclidean distance it is that of the squares, which are what is compared.
+    """
+    unit = 4 * (x.shape[1] + 4) * np.finfo(np.float64).eps
+    if metric == Metric.COSINE:
+        return np.full(len(q), unit)
+    longest, own = np.sqrt(np.nanmax((x * x).sum(1), initial=0.0)), np.sqrt((q * q).sum(1))
+    return unit * ((longest + own) ** 2 if metric == Metric.EUCLIDEAN else longest * own)
+
+
 def _exact(x: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
     """Distances of row i of x to row i of q, without the cancellation of the expanded form."""
     if metric == Metric.EUCLIDEAN:
         return np.sqrt(((x - q) ** 2).sum(1))
-    return np.array([distances(a[None], b[None], metric)[0, 0] for a, b in zip(x, q, strict=True)])
+    dots = np.einsum("ij,ij->i", x, q)
+    if metric == Metric.DOT:
+        return -dots
+    length = np.linalg.norm(x, axis=1) * np.linalg.norm(q, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(length == 0, 0.0, 1 - dots / length)
 
 
-def _k_least(d: np.ndarray, k: int, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of what may be among the k least of each column.
+def _k_least(x: np.ndarray, q: np.ndarray, k: int, metric: Metric, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, query and distance of the k least of each query, ties by rank and distances that are no numbers last.
 
-    Distances within rounding of the k-th are kept for the window to decide, unless they are many: ties
-    beyond that are broken by id here, so that a batch sends a few times k rows a query at most.
+    The matrix form finds what may be among them, by a bound of its rounding; these get exact distances, of which
+    the k least are taken. So however many vectors nearly equal a query, none of its neighbours is lost.
     """
-    if not k:
-        return np.zeros(0, int), np.zeros(0, int)
-    cut = np.partition(d, k - 1, axis=0)[k - 1]
-    near = ~(d > cut + 1e-7 * (1 + np.abs(cut)))
-    many = np.flatnonzero(near.sum(0) > 4 * k + 16)
-    if len(many):
-        rank = np.argsort(np.argsort(np.array(ids.to_pylist()), kind="stable"), kind="stable")
-        for j in many:
-            rows = np.flatnonzero(near[:, j])
-            rounded = np.round(d[rows, j], 12)
-            near[:, j] = False
-            near[rows[np.lexsort((rank[rows], rounded))[: 4 * k + 16]], j] = True
-    return np.nonzero(near)
+    d = distances(x, q, metric)
+    if metric in (Metric.MANHATTAN, Metric.HAMMING):
+        rows, queries = np.nonzero(~(d > np.partition(d, k - 1, axis=0)[k - 1]))
+        found = d[rows, queries]
+    else:
+        score = d * d if metric == Metric.EUCLIDEAN else d
+        rows, queries = np.nonzero(~(score > np.partition(score, k - 1, axis=0)[k - 1] + 2 * _slack(x, q, metric)))
+        step = max(1, GRID_BYTES // (8 * x.shape[1]))
+        found = np.concatenate([np.zeros(0), *(_exact(x[rows[a : a + step]], q[queries[a : a + step]], metric) for a in range(0, len(rows), step))])
+    order = np.lexsort((rank[rows], found, queries))  # NaN sorts last
+    rows, queries, found = rows[order], queries[order], found[order]
+    first = np.searchsorted(queries, np.arange(len(q)))
+    kept = np.arange(len(queries)) - first[queries] < k
+    return rows[kept], queries[kept], found[kept]
+
+
+def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """The vectors of a batch as rows; all of them must have the width."""
+    lengths = np.diff(column.offsets.to_numpy())
+    if (lengths != width).any():
+        raise DimensionMismatch(width, int(lengths[lengths != width][0]))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
 def _block(records: DataFrame, ids: list, grid: np.ndarray, k: int, metric: Metric, id_column: str, vector_column: str, query_id: str, query_kind: str) -> DataFrame:
@@ -154,15 +178,12 @@ def _block(records: DataFrame, ids: list, grid: np.ndarray, k: int, metric: Metr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         for whole in batches:
-            for a in range(0, whole.num_rows, rows):
+            for a in range(0, whole.num_rows if k else 0, rows):
                 batch = whole.slice(a, rows)
-                flat = batch.column(1)
-                x = np.asarray(flat.flatten(), np.float64).reshape(batch.num_rows, -1)
-                if x.shape[1] != q.shape[1]:
-                    raise DimensionMismatch(x.shape[1], q.shape[1])
-                d = distances(x, q, metric)
-                i, j = _k_least(d, min(k, len(d)), batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), batch.column(0).take(pa.array(i)), pa.array(_exact(x[i], q[j], metric) if metric == Metric.EUCLIDEAN else d[i, j], pa.float64())], names=["_query", id_column, "distance"])
+                x = _matrix(batch.column(1), q.shape[1])
+                rank = np.argsort(np.argsort(np.array(batch.column(0).to_pylist()), kind="stable"), kind="stable")
+                i, j, d = _k_least(x, q, min(k, len(x)), metric, rank)
+                yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), batch.column(0).take(pa.array(i)), pa.array(d, pa.float64())], names=["_query", id_column, "distance"])
 
     lean = records.where(F.col(vector_column).isNotNull()).select(id_column, F.col(vector_column).cast("array<double>").alias(vector_column))
     found = _ranked(lean.mapInArrow(run, f"_query int, `{id_column}` {id_kind}, distance double"), k, "_query", id_column)

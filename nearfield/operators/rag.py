@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,7 @@ class RagEngine:
         self.spark, self.projects = spark, projects
         self.embedder = embedder or auto_embedder()
         self.chat = chat
+        self._chunks: list[str] = []
         self.collection = Collection(spark.createDataFrame([], RECORD_SCHEMA))
 
     def init(self, name: str) -> None:
@@ -56,6 +58,11 @@ class RagEngine:
 
     def save(self, name: str) -> None:
         self.projects.save(name, self.collection.records())
+        if self._chunks:
+            self.collection = Collection(self.projects.load(name))
+            for folder in self._chunks:
+                self.projects.remove(folder)
+            self._chunks = []
 
     def records_of(self, texts: DataFrame, size: int) -> DataFrame:
         """The records of (path, text): id path:i, source, text and its vector."""
@@ -67,7 +74,11 @@ class RagEngine:
         return self.ingest_texts(read_texts(self.spark, path, pdf_text), size)
 
     def ingest_texts(self, texts: DataFrame, size: int) -> int:
-        rows = self.records_of(texts, size).persist()
+        """The same for a table (path, text). Vectors are made once and kept beside the projects until the next save."""
+        folder = f"{self.projects.base}/_chunks-{uuid.uuid4().hex}"
+        self.records_of(texts, size).write.parquet(folder)
+        self._chunks.append(folder)
+        rows = self.spark.read.parquet(folder)
         n = rows.count()
         if n:
             self.collection = self.collection.insert(rows)

@@ -73,6 +73,9 @@ class VariantFields:
 
 
 
+_LONG = 1 << 63
+
+
 def _number(value: Literal) -> int | float:
     """The number that a field is compared with; in a range, what is no number counts as 0.
 
@@ -81,7 +84,7 @@ def _number(value: Literal) -> int | float:
     if isinstance(value, bool) or not isinstance(value, int | float):
         log.warning("a range over %r compares with 0", value)
         return 0
-    return int(value) if float(value).is_integer() else value
+    return int(value) if float(value).is_integer() and -_LONG <= value < _LONG else float(value)
 
 
 def _equal(fields: Fields, field: str, value: Literal) -> Column | None:

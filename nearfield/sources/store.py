@@ -25,23 +25,48 @@ class Projects:
             raise Other(f"not a project name: {name!r}")
         return f"{self.base}/{name}/records"
 
+    def _files(self, path: str) -> tuple:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def _there(self, path: str) -> bool:
+        files, target = self._files(path)
+        return files.exists(target)
+
+    def _current(self, name: str) -> str | None:
+        """The folder of the records: that of the last save which ended, or of the one before while the last was putting its own in place."""
+        self.path(name)
+        return next((p for p in (self.path(name), f"{self.base}/{name}/_old") if self._there(p)), None)
+
+    def remove(self, path: str) -> None:
+        files, target = self._files(path)
+        files.delete(target, True)
+
     def exists(self, name: str) -> bool:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+        return self._current(name) is not None
 
     def save(self, name: str, records: DataFrame) -> None:
-        """Replaces the project. The records may come from the project itself, so a new folder is written first."""
-        jvm, target, fresh = self.spark._jvm, self.path(name), f"{self.base}/{name}/_new"
+        """Replaces the project. The records may come from the project itself, so a new folder is written first.
+
+        The old one is set aside until the new one is in place, so a crash at any point leaves one of them to load.
+        """
+        target, fresh, aside = self.path(name), f"{self.base}/{name}/_new", f"{self.base}/{name}/_old"
         records.write.mode("overwrite").parquet(fresh)
-        old, new = jvm.org.apache.hadoop.fs.Path(target), jvm.org.apache.hadoop.fs.Path(fresh)
-        files = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(old, True)
-        if not files.rename(new, old):
+        files, new = self._files(fresh)
+        _, now = self._files(target)
+        _, old = self._files(aside)
+        if files.exists(now):
+            files.delete(old, True)
+            if not files.rename(now, old):
+                raise Other(f"could not move {target} to {aside}")
+        if not files.rename(new, now):
             raise Other(f"could not move {fresh} to {target}")
+        files.delete(old, True)
 
     def load(self, name: str, schema: str = RECORD_SCHEMA) -> DataFrame:
         """The records; none, with the given schema, if there is no such project."""
-        return self.spark.read.parquet(self.path(name)) if self.exists(name) else self.spark.createDataFrame([], schema)
+        found = self._current(name)
+        return self.spark.read.parquet(found) if found else self.spark.createDataFrame([], schema)
 
 
 def read_texts(spark: SparkSession, path: str, pdf_text: Callable[[bytes], str] | None = None) -> DataFrame:
