@@ -5,8 +5,8 @@ Distinct lines within a number of edits of each other are linked; the shorter li
 segment of the shorter one unchanged, at one of a few places that the difference of their lengths
 allows. Segments are indexed by (length of the line, number, hash of the text); every line probes the
 index for the lengths in reach with the substrings at those places. Index and probes meet in one
-equi-join, inside which counts of frequent letters, that an edit changes by two in all at most, drop
-most pairs. What remains is verified by a banded bit-parallel edit distance: a word of 2 * e + 1 bits
+equi-join, inside which bitmaps of the lines' words, in which an edit flips three bits at most, drop
+most pairs; counts of letters, which an edit changes by two at most, drop more of them where texts are at hand. What remains is verified by a banded bit-parallel edit distance: a word of 2 * e + 1 bits
 slides down the diagonal, one column of the table a step.
 
 A segment that very many lines have in common (a time, a license's first words) would make all their
@@ -45,8 +45,12 @@ RULE = (8, 16)
 SAMPLED, HOT_SAMPLE, HOT, LEVELS = 64, 4, 256, 3
 #: Bits of the bitmap that picks lines to look up: 2 MB at most, as rows of 64 bits.
 BITMAP = 1 << 23
-#: Letters whose counts are compared, ten bits each.
-LETTERS = "enat"
+#: Bits that an edit flips in the bitmap of words at most: a blank put into a word, or taken out, changes three words.
+FLIPS = 3
+#: Letters whose counts modulo 16 are compared where texts are at hand; an edit changes two of them by one at most.
+LETTERS = "etaoinshrdlucmgb"
+#: Substrings are cut from this encoding, of four bytes a character, as others would be walked through from the start.
+_WIDE = "UTF-32"
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -79,52 +83,64 @@ def allowed(length: Column, rule: tuple[int, ...]) -> Column:
     return sum(((length >= least).cast("int") for least in rule), F.lit(0))
 
 
-def _key(line: Column, start: Column, size: Column, length: Column, i: int) -> Column:
-    return F.xxhash64(F.substring(line, start, size), length, F.lit(i))
+def _shapes(rule: tuple[int, ...]) -> list[dict[str, Column]]:
+    """Steps of columns that give, for a partner shorter by d, its length o<d>, its edits e<d>, and the start a<d>_<i> and size z<d>_<i> of its segments in bytes.
 
-
-def _slots(line: Column, length: Column, rule: tuple[int, ...], d: int | None) -> list[list[tuple[Column, dict[str, Column]]]]:
-    """The places of a line that are indexed (d is None), or probed for partners shorter by d.
-
-    One list a place, with a condition and the place's key, start, size and edits for each number of edits.
+    Of t = segments - (length modulo segments), segments from number t on are longer by one character.
     """
-    other = length if d is None else length - d
-    out: list[list] = []
-    for edits in range(len(rule), 0, -1):
-        fits = (other >= rule[edits - 1]) & (other < rule[edits] if edits < len(rule) else F.lit(True)) & (other >= edits + 1)
-        for at, (i, shift) in enumerate([(i, 0) for i in range(edits + 1)] if d is None else moves(edits, d) if d <= edits else []):
-            begin, size = segment(other, i, edits)
-            begin = begin + shift
-            if at == len(out):
-                out.append([])
-            out[at].append((fits & (begin >= 1) & (begin + size - 1 <= length), {"key": _key(line, begin, size, other, i), "start": begin, "size": size, "edits": F.lit(edits)}))
-    return out
-
-
-def _first_that_fits(slot: list[tuple[Column, dict[str, Column]]], value: Callable[[dict[str, Column]], Column]) -> Column:
-    out = F.when(slot[0][0], value(slot[0][1]))
-    for fits, place in slot[1:]:
-        out = out.when(fits, value(place))
-    return out
-
-
-def index_keys(line: Column, length: Column, rule: tuple[int, ...] = RULE) -> list[Column]:
-    return [_first_that_fits(s, lambda p: p["key"]) for s in _slots(line, length, rule, None)]
-
+    ds, shl = range(len(rule) + 1), lambda c: F.call_function("shiftleft", c, F.lit(2))
+    steps: list[dict[str, Column]] = [{f"o{d}": F.col("n") - d for d in ds}, {}, {}, {}]
+    for d in ds:
+        other, m, short, t = (F.col(f"{c}{d}") for c in "omst")
+        steps[1] |= {f"m{d}": allowed(other, rule) + 1}
+        steps[2] |= {f"s{d}": F.call_function("div", other, m).cast("int"), f"t{d}": m - other % m}
+        for i in range(len(rule) + 1):
+            begin = short * i if i > 1 else short
+            steps[3][f"z{d}_{i}"] = shl(short + (t <= i).cast("int")) if i else shl(short)
+            if i:
+                steps[3][f"a{d}_{i}"] = shl(begin + F.greatest(F.lit(0), i - t) if i > 1 else begin) + 1
+    return steps
+
+
+def _moves(rule: tuple[int, ...]) -> list[tuple[int, int, int, int]]:
+    """(d, segment, shift, edits from which it is probed) for all probes; fewer edits allow a part of the moves of more."""
+    most = len(rule)
+    return [(d, i, x, next(e for e in range(max(1, d), most + 1) if (i, x) in moves(e, d))) for d in range(most + 1) for i, x in moves(most, d)]
 
-def probe_keys(line: Column, length: Column, rule: tuple[int, ...] = RULE) -> list[Column]:
-    """The keys to look up for partners that are no longer than the line."""
-    return [_first_that_fits(s, lambda p: p["key"]) for d in range(len(rule) + 1) for s in _slots(line, length, rule, d)]
 
+def _key(wide: Column, start: Column, size: Column, length: Column, i: int) -> Column:
+    return F.xxhash64(F.substring(wide, start, size), length, F.lit(i))
 
-def _places(line: Column, length: Column, rule: tuple[int, ...], ds: list[int | None]) -> Column:
-    """The same with what stands beside each place: an array of (key, edits, d, rest)."""
 
-    def place(p: dict[str, Column], d: int | None) -> Column:
-        rest = F.concat(F.substring(line, F.lit(1), p["start"] - 1), F.substring(line, p["start"] + p["size"], length))
-        return F.struct(p["key"].alias("key"), p["edits"].alias("edits"), F.lit(d or 0).alias("d"), rest.alias("rest"))
+def probed(rows: DataFrame, rule: tuple[int, ...], *others: Column) -> DataFrame:
+    """The other columns and the keys p0, p1, ... of all probes of a column `line`; a line's index keys are those of d = 0 without a shift.
 
-    return F.filter(F.array(*[_first_that_fits(s, lambda p: place(p, d)) for d in ds for s in _slots(line, length, rule, d)]), lambda p: p.isNotNull())  # noqa: B023
+    Done in steps, each a projection over columns: one expression of it all would be compiled to too large a method.
+    """
+    assert all(least > edits for edits, least in enumerate(rule, 1)), "a line needs a character for each segment"
+    rows = rows.withColumns({"n": F.length("line"), "wide": F.encode("line", _WIDE)})
+    for step in _shapes(rule):
+        rows = rows.withColumns(step)
+    start = lambda d, i, x: F.lit(1) if not i else F.col(f"a{d}_{i}") + 4 * x if x else F.col(f"a{d}_{i}")
+    keys = [F.when(F.col(f"m{d}") > least, _key(F.col("wide"), start(d, i, x), F.col(f"z{d}_{i}"), F.col(f"o{d}"), i)) for d, i, x, least in _moves(rule)]
+    return rows.select(*others, *[c.alias(f"p{k}") for k, c in enumerate(keys)])
+
+
+def _places(line: Column, rule: tuple[int, ...], probing: bool) -> Column:
+    """The same keys with what stands beside each place: an array of (key, edits, d, rest)."""
+    n, wide = F.length(line), F.encode(line, _WIDE)
+    out = []
+    for edits in range(1, len(rule) + 1):
+        for d in range(edits + 1) if probing else [0]:
+            other = n - d
+            fits = (other >= rule[edits - 1]) & (other < rule[edits] if edits < len(rule) else F.lit(True))
+            for i, x in moves(edits, d) if probing else [(i, 0) for i in range(edits + 1)]:
+                begin, size = segment(other, i, edits)
+                begin = begin + x
+                rest = F.concat(F.substring(line, F.lit(1), begin - 1), F.substring(line, begin + size, n))
+                place = F.struct(_key(wide, (begin - 1) * 4 + 1, size * 4, other, i).alias("key"), F.lit(edits).alias("edits"), F.lit(d).alias("d"), rest.alias("rest"))
+                out.append(F.when(fits, place))
+    return F.filter(F.array(*out), lambda p: p.isNotNull())
 
 
 # Verification
@@ -219,52 +235,55 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return line.select("doc_id", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def _sketch(line: Column) -> Column:
+    """A bitmap of 64 parities, one for the words of each hash."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, F.hash(w))))
+
+
 def _letters(line: Column) -> Column:
     packed = F.lit(0).cast("long")
     for k, c in enumerate(LETTERS):
-        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 1024
-        packed = packed.bitwiseOR(F.call_function("shiftleft", count.cast("long"), F.lit(10 * k)))
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))) % 16
+        packed = packed.bitwiseOR(F.call_function("shiftleft", count.cast("long"), F.lit(4 * k)))
     return packed
 
 
 def _letters_apart(a: Column, b: Column) -> Column:
     """A lower bound of twice the edits between two lines."""
-    total = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        d = F.abs(F.call_function("shiftright", a, F.lit(10 * k)).bitwiseAND(F.lit(1023).cast("long")) - F.call_function("shiftright", b, F.lit(10 * k)).bitwiseAND(F.lit(1023).cast("long")))
-        total = total + F.least(d, 1024 - d)
-    return total
+    count = lambda x, k: F.call_function("shiftright", x, F.lit(4 * k)).bitwiseAND(F.lit(15).cast("long"))
+    each = [F.abs(count(a, k) - count(b, k)) for k in range(len(LETTERS))]
+    return sum((F.least(d, 16 - d) for d in each[1:]), F.least(each[0], 16 - each[0]))
 
 
 def distinct_lines(docs: DataFrame, rule: tuple[int, ...] = RULE) -> DataFrame:
-    """One row a line: its hashes, the first doc_id, its letters, and keys to index and to probe (null for short lines)."""
-    rows = occurrences(docs)
-    n = F.length("line")
-    index, probe = index_keys(F.col("line"), n, rule), probe_keys(F.col("line"), n, rule)
-    keys = [(f"i{k}", c) for k, c in enumerate(index)] + [(f"p{k}", c) for k, c in enumerate(probe)]
-    made = rows.select("h1", "h2", "doc_id", _letters(F.col("line")).alias("letters"), *[c.alias(k) for k, c in keys])
+    """One row a line: its hashes, the first doc_id, the bitmap of its words, and its keys (null where it is too short)."""
+    made = probed(occurrences(docs), rule, F.col("h1"), F.col("h2"), F.col("doc_id"), _sketch(F.col("line")).alias("sketch"))
     # Equal lines have equal keys, so any aggregate that is combined early serves.
-    return made.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min("letters").alias("letters"), *[F.min(k).alias(k) for k, _ in keys])
+    return made.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"), F.min("sketch").alias("sketch"), *[F.min(f"p{k}").alias(f"p{k}") for k in range(len(_moves(rule)))])
 
 
-def _entries(lines: DataFrame, kind: str) -> DataFrame:
-    """(key, h, letters) of the lines' index (i) or probe (p) keys. A line is known by 64 bits here; verification tells apart what shares them."""
-    keys = [c for c in lines.columns if c[0] == kind and c[1:].isdigit()]
-    rows = lines.select(F.col("h1").alias("h"), "letters", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
-    return rows.where("key is not null").select("key", "h", "letters")
+def _entries(lines: DataFrame, rule: tuple[int, ...], probing: bool) -> DataFrame:
+    """(key, h, sketch) of the lines' probe or index keys. A line is known by 64 bits here; verification tells apart what shares them."""
+    keys = [f"p{k}" for k, (d, _, x, _) in enumerate(_moves(rule)) if probing or (d, x) == (0, 0)]
+    rows = lines.select(F.col("h1").alias("h"), "sketch", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    return rows.where("key is not null").select("key", "h", "sketch")
 
 
 def _meet(index: DataFrame, probe: DataFrame, most: Column) -> DataFrame:
-    """Pairs (a, b) of lines that share a key and whose letters are no further apart than `most` edits make them."""
-    a = index.select(F.col("key").alias("a_key"), F.col("h").alias("a"), F.col("letters").alias("a_letters"), *[c for c in index.columns if c == "edits"])
-    b = probe.select(F.col("key").alias("b_key"), F.col("h").alias("b"), F.col("letters").alias("b_letters"))
-    near = _letters_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * most
+    """Pairs (a, b) of lines that share a key and whose words, and letters if they are there, are no further apart than `most` edits make them."""
+    known = [c for c in ("sketch", "letters") if c in index.columns]
+    a = index.select(F.col("key").alias("a_key"), F.col("h").alias("a"), *[F.col(c).alias(f"a_{c}") for c in known], *[c for c in index.columns if c == "edits"])
+    b = probe.select(F.col("key").alias("b_key"), F.col("h").alias("b"), *[F.col(c).alias(f"b_{c}") for c in known])
+    near = F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= FLIPS * most
+    if "letters" in known:
+        near = near & (_letters_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * most)
     met = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a") != F.col("b")) & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _inside(rows: DataFrame, hot: DataFrame, most: int, probing: bool) -> DataFrame:
-    """The next level of what lies beside hot keys: (key, h, letters, edits, d, rest), keys of segments of the rest."""
+    """The next level of what lies beside hot keys: (key, h, sketch, letters, edits, d, rest), keys of segments of the rest."""
     rest, n = F.col("rest"), F.length("rest")
     kept = rows.join(hot.select(F.col("key").alias("hot")), F.col("key") == F.col("hot")).drop("hot")
 
@@ -284,21 +303,19 @@ def _inside(rows: DataFrame, hot: DataFrame, most: int, probing: bool) -> DataFr
         for d in range(edits + 1) if probing else [0]:
             case = (F.col("edits") == edits) & (F.col("d") == d)
             made, first = (F.when(case, places(edits, d)) if first else made.when(case, places(edits, d))), False
-    return kept.select("h", "letters", "edits", "d", F.explode(made).alias("p")).select("p.key", "h", "letters", "edits", "d", "p.rest")
+    return kept.select("h", "sketch", "letters", "edits", "d", F.explode(made).alias("p")).select("p.key", "h", "sketch", "letters", "edits", "d", "p.rest")
 
 
 def _refined(docs: DataFrame, lines: DataFrame, hot: DataFrame, rule: tuple[int, ...]) -> DataFrame:
     """Pairs of lines that meet under hot keys: they share a segment of what stands beside the key too."""
     most = len(rule)
-    either = _entries(lines, "i").unionByName(_entries(lines, "p")).join(hot.select(F.col("key").alias("hot")), F.col("key") == F.col("hot"))
+    either = _entries(lines, rule, True).join(hot.select(F.col("key").alias("hot")), F.col("key") == F.col("hot"))
     wanted = stage(either.select(F.col("h").alias("h1")).distinct(), "line-hot")
-    known = lines.select("h1", "h2", "letters").join(wanted, "h1").select("h1", "h2", "letters")
+    known = lines.select("h1", "h2", "sketch").join(wanted, "h1").select("h1", "h2", "sketch")
     texts = _picked(occurrences(docs), wanted).distinct().join(known, ["h1", "h2"])
-    texts = stage(texts.select(F.col("h1").alias("h"), "letters", "line"), "line-hot-texts")
-    line, n = F.col("line"), F.length("line")
-    index = texts.select("h", "letters", F.explode(_places(line, n, rule, [None])).alias("p"))
-    probe = texts.select("h", "letters", F.explode(_places(line, n, rule, list(range(most + 1)))).alias("p"))
-    index, probe = (x.select("p.key", "h", "letters", "p.edits", "p.d", "p.rest") for x in (index, probe))
+    texts = stage(texts.select(F.col("h1").alias("h"), "sketch", _letters(F.col("line")).alias("letters"), "line"), "line-hot-texts")
+    index, probe = (texts.select("h", "sketch", "letters", F.explode(_places(F.col("line"), rule, x)).alias("p")) for x in (False, True))
+    index, probe = (x.select("p.key", "h", "sketch", "letters", "p.edits", "p.d", "p.rest") for x in (index, probe))
     found = None
     for level in range(1, LEVELS):
         index, probe = stage(_inside(index, hot, most, False), "line-index"), stage(_inside(probe, hot, most, True), "line-probe")
@@ -316,8 +333,8 @@ def _refined(docs: DataFrame, lines: DataFrame, hot: DataFrame, rule: tuple[int,
 
 def candidates(docs: DataFrame, lines: DataFrame, rule: tuple[int, ...] = RULE) -> DataFrame:
     """Pairs (a, b) of lines, by the first 64 bits of their hashes, that share a segment and may be within the edits; each once."""
-    index, probe = _entries(lines, "i"), _entries(lines, "p")
-    sample = _entries(lines.where(F.pmod("h2", F.lit(SAMPLED)) == 0), "i")
+    index, probe = (_entries(lines, rule, x) for x in (False, True))
+    sample = _entries(lines.where(F.pmod("h2", F.lit(SAMPLED)) == 0), rule, False)
     hot = stage(sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SAMPLE).select("key"), "line-hot-keys")
     most = F.lit(len(rule))
     if hot.isEmpty():
@@ -341,9 +358,10 @@ def links(docs: DataFrame, lines: DataFrame, rule: tuple[int, ...] = RULE) -> Da
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "line-wanted")
     # Copies go before the shuffle of the join. A semi join would be moved below the bitmap, so this is an inner one.
     texts = _picked(occurrences(docs), wanted).distinct().join(wanted, "h1")
-    texts = stage(texts.select("h1", F.struct("h1", "h2").alias("id"), "line"), "line-texts")
-    for side in "ab":
-        pairs = pairs.join(texts.select(F.col("h1").alias(f"{side}_h"), F.col("id").alias(f"{side}_id"), F.col("line").alias(f"{side}_line")), F.col(side) == F.col(f"{side}_h"))
+    texts = stage(texts.select("h1", F.struct("h1", "h2").alias("id"), _letters(F.col("line")).alias("letters"), "line"), "line-texts")
+    for side, near in (("a", F.lit(True)), ("b", _letters_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * len(rule))):
+        named = texts.select(F.col("h1").alias(f"{side}_h"), F.col("id").alias(f"{side}_id"), F.col("letters").alias(f"{side}_letters"), F.col("line").alias(f"{side}_line"))
+        pairs = pairs.join(named, (F.col(side) == F.col(f"{side}_h")) & near)
     most = allowed(F.least(F.length("a_line"), F.length("b_line")), rule)
     near = pairs.where(distance(F.col("a_line"), F.col("b_line"), len(rule)) <= most)
     return near.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
