@@ -6,21 +6,23 @@ order. Every query runs over its whole tables; limits are those of top-k searche
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.functions.metrics import Metric, cosine, distance, norm, vector
-from nearfield.functions.text import is_valid_chunk
+from nearfield.errors import VectorError
+from nearfield.functions.metrics import Metric, cosine, distance, norm, register, vector
+from nearfield.functions.text import chunk_column, is_valid_chunk
 from nearfield.operators import ann, knn
 from nearfield.operators.collection import Collection, records_from
 from nearfield.operators.metadata import Postings
 from nearfield.operators.rag import RagEngine, chunked, prompt_column
 from nearfield.plans.compile import TypedFields, VariantFields, by_set_algebra, to_column
 from nearfield.plans.filters import Not, parse
-from nearfield.sources.services import HashingEmbedder
-from nearfield.sources.store import Projects, from_json, to_json
+from nearfield.sources.services import ApiChat, ApiEmbedder, HashingEmbedder, auto_embedder, embedding
+from nearfield.sources.store import Projects, from_json, read_texts, to_json
 from nearfield.workers import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +63,12 @@ def _query_vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
     return _table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
 
 
-def _batch(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
-    return _table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+#: The queries of batch searches: every row whose id is divisible by 20.
+_ASKED = "vec_id % 20 = 0"
+
+
+def _batch(spark: SparkSession, d: str, which: str = _ASKED) -> DataFrame:
+    return _table(spark, d, "embeddings").where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 def _rich(spark: SparkSession, d: str) -> DataFrame:
@@ -109,13 +115,13 @@ for _m in Metric:
     _add(f"knn_{_m}", _knn_sql(_m, 10), lambda s, d, m=_m: _out(knn.nearest(_embeddings(s, d), _query_vector(s, d), 10, m)))
 
     def _matrix(s: SparkSession, d: str, m: str = _m) -> DataFrame:
-        # Ten stated vectors against themselves.
+        # The stated queries against themselves.
         a = _batch(s, d).select(F.col("query_id").alias("a_id"), F.col("query_vector").alias("a"))
         b = _batch(s, d).select(F.col("query_id").alias("b_id"), F.col("query_vector").alias("b"))
         return a.crossJoin(F.broadcast(b)).select("a_id", "b_id", _six(distance(m, F.col("a"), F.col("b"))).alias("distance"))
 
     _pair = _d(_m, "CAST(a.embedding AS DOUBLE[])", "CAST(b.embedding AS DOUBLE[])")
-    _add(f"dist_matrix_{_m}", f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, {_six_sql(_pair)} AS distance FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.vec_id < 10", _matrix)
+    _add(f"dist_matrix_{_m}", f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, {_six_sql(_pair)} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 = 0", _matrix)
 
 _add("l2_norm", "SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings", lambda s, d: _embeddings(s, d).select(F.col("id").alias("vec_id"), F.round(norm(F.col("vector")), 6).alias("norm")))
 _add("knn_cosine_stored_norm", _knn_sql("cosine", 10), lambda s, d: _out(knn.nearest(knn.with_norm(_embeddings(s, d)), _query_vector(s, d), 10, Metric.COSINE)))
@@ -137,9 +143,9 @@ for _m in (Metric.COSINE, Metric.DOT, Metric.MANHATTAN):
 # Batch search
 
 
-def _batch_sql(metric: str, k: int = 5, n: int = 10) -> str:
+def _batch_sql(metric: str, k: int = 5, which: str = _ASKED) -> str:
     pair = _d(metric, "CAST(e.embedding AS DOUBLE[])", "CAST(b.embedding AS DOUBLE[])")
-    return f"SELECT query_id, vec_id, {_six_sql('distance')} AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT b.vec_id AS query_id, e.vec_id, {pair} AS distance FROM embeddings e, embeddings b WHERE b.vec_id < {n})) WHERE rank <= {k}"
+    return f"SELECT query_id, vec_id, {_six_sql('distance')} AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT b.vec_id AS query_id, e.vec_id, {pair} AS distance FROM embeddings e, embeddings b WHERE b.{which})) WHERE rank <= {k}"
 
 
 def _batch_out(df: DataFrame) -> DataFrame:
@@ -149,8 +155,22 @@ def _batch_out(df: DataFrame) -> DataFrame:
 for _m in Metric:
     _add(f"knn_batch_{_m}", _batch_sql(_m), lambda s, d, m=_m: _batch_out(knn.nearest_for_each(_embeddings(s, d), _batch(s, d), 5, m, method="expressions")))
     _add(f"knn_batch_blocked_{_m}", _batch_sql(_m), lambda s, d, m=_m: _batch_out(knn.nearest_for_each(_embeddings(s, d), _batch(s, d), 5, m, method="blocks")))
-_add("knn_batch_100", _batch_sql("euclidean", 10, 100), lambda s, d: _batch_out(Collection(_embeddings(s, d)).search_batch(_batch(s, d, 100), 10, Metric.EUCLIDEAN)))
-_add("knn_batch_no_queries", _batch_sql("euclidean", 10, 0), lambda s, d: _batch_out(Collection(_embeddings(s, d)).search_batch(_batch(s, d, 0), 10, Metric.EUCLIDEAN)))
+_add("knn_batch_100", _batch_sql("euclidean", 10), lambda s, d: _batch_out(Collection(_embeddings(s, d)).search_batch(_batch(s, d), 10, Metric.EUCLIDEAN)))
+_add("knn_batch_no_queries", _batch_sql("euclidean", 10, "vec_id < 0"), lambda s, d: _batch_out(Collection(_embeddings(s, d)).search_batch(_batch(s, d, "vec_id < 0"), 10, Metric.EUCLIDEAN)))
+
+
+def _largest(a: Column, b: Column) -> Column:
+    """The largest difference of two vectors' elements: a distance that the engine does not know by itself."""
+    return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
+
+
+def _knn_registered(s: SparkSession, d: str) -> DataFrame:
+    register("chebyshev", _largest)
+    return _out(knn.nearest(_embeddings(s, d), _query_vector(s, d), 10, "chebyshev"))
+
+
+_CHEBYSHEV = "list_max(list_transform(list_zip(CAST(embedding AS DOUBLE[]), q), lambda x: abs(x[1] - x[2])))"
+_add("knn_registered_metric", f"SELECT vec_id, {_six_sql('distance')} AS distance FROM (SELECT vec_id, {_CHEBYSHEV} AS distance FROM embeddings, {_Q} ORDER BY distance, vec_id LIMIT 10)", _knn_registered)
 
 
 # Approximate search
@@ -189,7 +209,41 @@ _add("ivf_batch_full_probe", _batch_sql("euclidean"), lambda s, d: _batch_out(_i
 _add("ivf_roundtrip", _knn_sql("euclidean", 10), _ivf_roundtrip)
 _add("ivf_default", None, lambda s, d: _out(_index(s, d).search(_query_vector(s, d), 10, Metric.EUCLIDEAN)))
 _add("ivf_batch_default", None, lambda s, d: _batch_out(_index(s, d).search_batch(_batch(s, d), 10, Metric.EUCLIDEAN)))
-_add("knn_auto_index", None, lambda s, d: _out(Collection(_embeddings(s, d), index="auto").search(_query_vector(s, d), 10, Metric.EUCLIDEAN)))
+_add("knn_auto_index", _knn_sql("euclidean", 10), lambda s, d: _out(Collection(_embeddings(s, d), index="auto", params=ann.Params(n_cells=16, nprobe=16)).search(_query_vector(s, d), 10, Metric.EUCLIDEAN)))
+
+
+def _recall(s: SparkSession, d: str) -> DataFrame:
+    """Of the stated queries: how many there are, and whether the default index finds nine tenths of their ten nearest."""
+    exact = knn.nearest_for_each(_embeddings(s, d), _batch(s, d), 10, Metric.EUCLIDEAN).select("query_id", "id")
+    found = _index(s, d).search_batch(_batch(s, d), 10, Metric.EUCLIDEAN).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "id"], "left").agg(F.count_distinct("query_id").alias("n_queries"), (F.coalesce(F.sum("hit"), F.lit(0)) >= 0.9 * F.count("*")).alias("enough"))
+
+
+def _single_found(s: SparkSession, d: str) -> DataFrame:
+    """Of one default search: whether the distances are those of the records found, in order, and the query is among them."""
+    found = _index(s, d).search(_query_vector(s, d), 10, Metric.EUCLIDEAN).select(F.col("id").alias("found"), F.col("distance").alias("said"))
+    right = knn.scored(_embeddings(s, d), _query_vector(s, d), Metric.EUCLIDEAN).join(found, F.col("id") == F.col("found"))
+    return right.agg(F.count("*").alias("n"), (F.max(F.abs(F.col("said") - F.col("distance"))) < 1e-9).alias("exact"), F.min("distance").alias("nearest"))
+
+
+def _index_changes(s: SparkSession, d: str) -> DataFrame:
+    """A search of all cells after records came, went and moved, without a new fit."""
+    c = Collection(_records(s, d).where("label <> 3"), index="ivf", params=ann.Params(n_cells=16, nprobe=16))
+    c.ivf  # noqa: B018  fitted before the changes
+    c = c.insert(_records(s, d).where("label = 3")).delete(_records(s, d).where("label = 4")).update("7", _query_vector(s, d))
+    return c.search(_query_vector(s, d), 10, Metric.EUCLIDEAN).select("id", _six("distance").alias("distance"))
+
+
+def _switch(s: SparkSession, d: str) -> DataFrame:
+    """Around the number of records from which index="auto" is approximate."""
+    said = [(n, Collection(s.range(n).select(F.col("id").cast("string").alias("id"), F.array(F.col("id").cast("float")).alias("vector")), index="auto")._uses_ivf()) for n in (999, 1000, 1001)]
+    return s.createDataFrame(said, "n long, approximate boolean")
+
+
+_add("ivf_recall", "SELECT count(*) AS n_queries, TRUE AS enough FROM embeddings WHERE vec_id % 20 = 0", _recall)
+_add("ivf_single", "SELECT 10::BIGINT AS n, TRUE AS exact, 0.0::DOUBLE AS nearest", _single_found)
+_add("ivf_changes", f"SELECT CAST(vec_id AS VARCHAR) AS id, {_six_sql('distance')} AS distance FROM (SELECT vec_id, CASE WHEN vec_id = 7 THEN 0.0 ELSE {_d('euclidean')} END AS distance FROM embeddings, {_Q} WHERE label <> 4 ORDER BY distance, CAST(vec_id AS VARCHAR) LIMIT 10)", _index_changes)
+_add("auto_index_switch", "SELECT * FROM (VALUES (999::BIGINT, FALSE), (1000::BIGINT, TRUE), (1001::BIGINT, TRUE)) t(n, approximate)", _switch)
 
 
 # Filters over events, documents, parts
@@ -322,7 +376,11 @@ _posting("meta_number_above", "n_chars > 3000", lambda p: p.number_above("n_char
 _posting("meta_number_below", "n_chars < 500", lambda p: p.number_below("n_chars", 500))
 _posting("meta_bool", "good", lambda p: p.boolean("good", True))
 _posting("meta_with_field", "quality IS NOT NULL", lambda p: p.with_field("quality"))
-_posting("meta_clear_field", "FALSE", lambda p: p.clear_field("lang").string("lang", "de"))
+_add(
+    "meta_clear_field",
+    f"SELECT field, count(*) AS entries FROM (SELECT unnest(CASE WHEN quality IS NULL THEN ['label', 'source', 'n_chars'] ELSE ['label', 'source', 'n_chars', 'quality', 'toxic', 'good'] END) AS field FROM {_RICH}) GROUP BY field",
+    lambda s, d: _postings(s, d).clear_field("lang").df.groupBy("field").agg(F.count("*").alias("entries")),
+)
 _posting("meta_deindex", "lang = 'de' AND id >= 100", lambda p: p.deindex(p.df.where("field = 'lang' and id < 100")).string("lang", "de"))
 _add("meta_field_counts", "SELECT * FROM (VALUES ('string', 2::BIGINT), ('number', 4::BIGINT), ('bool', 1::BIGINT)) t(kind, fields)", lambda s, d: _postings(s, d).field_counts())
 
@@ -361,8 +419,19 @@ def _doubled(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("crud_update_many", f"SELECT CAST(vec_id AS VARCHAR) AS id, CASE WHEN label = 2 THEN round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 2)), 6) ELSE {_SUM} END AS total, label FROM embeddings", _doubled)
-_add("crud_get", f"{_OLD} WHERE vec_id = 42", lambda s, d: _summed(Collection(_records(s, d)).records().where(F.col("id") == "42")))
-_add("crud_len", "SELECT count(*) AS n, count(*) = 0 AS is_empty FROM embeddings", lambda s, d: _records(s, d).agg(F.count("*").alias("n"), (F.count("*") == 0).alias("is_empty")))
+_add("crud_get", f"{_OLD} WHERE vec_id = 42", lambda s, d: _summed(s.createDataFrame([r for i in ("42", "nobody") if (r := Collection(_records(s, d)).get(i))], _records(s, d).schema)))
+_add("crud_len", "SELECT count(*) AS n, count(*) = 0 AS is_empty FROM embeddings", lambda s, d: s.createDataFrame([((c := Collection(_records(s, d))).count(), c.is_empty())], "n long, is_empty boolean"))
+
+
+def _repeated(s: SparkSession, d: str) -> DataFrame:
+    """Records appended beside others of their ids: the newest ones are moved, then deleted for some labels."""
+    twice = _records(s, d).withColumn("label", F.col("label") + 100)
+    c = Collection(_records(s, d)).insert(twice, on_duplicate="append")
+    moved = _records(s, d).where("label = 2").withColumn("vector", F.transform("vector", lambda x: (x * 2).cast("float")))
+    return _summed(c.update_many(moved).delete(_records(s, d).where("label = 4")).records())
+
+
+_add("crud_repeated_ids", f"{_OLD} UNION ALL SELECT CAST(vec_id AS VARCHAR), CASE WHEN label = 2 THEN round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 2)), 6) ELSE {_SUM} END, label + 100 FROM embeddings WHERE label <> 4", _repeated)
 _add("scan_snapshot", _OLD, lambda s, d: _summed(Collection(_records(s, d)).records()))
 _add("semi_join_candidates", f"{_OLD} WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)", lambda s, d: _summed(Collection(_records(s, d)).candidates(_table(s, d, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("id"))).records()))
 _add("json_roundtrip", _OLD, lambda s, d: _summed(from_json(to_json(_records(s, d).select("id", "vector", F.struct("label").alias("metadata")))).select("id", "vector", F.variant_get("metadata", "$.label", "int").alias("label"))))
@@ -397,20 +466,152 @@ def _rag(s: SparkSession, d: str) -> RagEngine:
     return engine
 
 
-def _rag_texts(s: SparkSession, texts: Sequence[str]) -> DataFrame:
-    return s.createDataFrame(list(enumerate(texts)), "rank int, text string")
+def _chunk_coverage(s: SparkSession, d: str) -> DataFrame:
+    """What all chunks of a document hold but for blanks, and whether each is within the limit."""
+    made = _table(s, d, "documents").select("doc_id", chunk_column(F.col("text"), 500).alias("chunks"))
+    held = F.regexp_replace(F.array_join("chunks", ""), r"\s", "")
+    return made.select("doc_id", F.md5(held.cast("binary")).alias("held"), F.forall("chunks", lambda c: (F.length(c) <= 500) & (F.length(c) > 0)).alias("fits"))
+
+
+def _text_files(s: SparkSession, d: str, every: int = 0) -> str:
+    """The benchmark's texts as files, one each; every so many of them are renamed to .pdf."""
+    path = _shared(s, "files")
+    _table(s, d, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    folder = s._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(s._jsc.hadoopConfiguration())
+    found = sorted(f.getPath().toString() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-"))
+    for i, name in enumerate(found):
+        if every and i % every == 0:
+            files.rename(s._jvm.org.apache.hadoop.fs.Path(name), s._jvm.org.apache.hadoop.fs.Path(f"{name}.PDF"))
+    return f"{path}/part-*"
+
+
+def _read_back(s: SparkSession, d: str, every: int) -> DataFrame:
+    texts = read_texts(s, _text_files(s, d, every), (lambda content: "pdf " + content.decode()) if every else None)
+    return texts.select(F.regexp_replace("text", r"^pdf |\n$", "").alias("text"), F.startswith("text", F.lit("pdf ")).alias("extracted")).groupBy("text").agg(F.count("*").alias("n")).select("text", "n")
+
+
+def _ingested(s: SparkSession, d: str) -> DataFrame:
+    """Files read, cut, embedded, saved and loaded again: the records that a second engine finds."""
+    projects = Projects(s, _shared(s, "projects"))
+    engine = RagEngine(s, projects, HashingEmbedder(64))
+    engine.init("p")
+    n = engine.ingest(_text_files(s, d), 100_000)
+    engine.save("p")
+    again = RagEngine(s, projects, HashingEmbedder(64)).load("p").collection
+    return again.records().groupBy("text").agg(F.count("*").alias("n"), (F.max(F.size("vector")) == 64).alias("embedded")).select("text", "n", "embedded", F.lit(n == again.count()).alias("all_kept"))
+
+
+def _engine_errors(s: SparkSession, d: str) -> DataFrame:
+    """What loading and making projects says."""
+    engine, out = RagEngine(s, Projects(s, _shared(s, "projects")), HashingEmbedder(8)), []
+    for step, call in (("init", engine.init), ("init again", engine.init), ("load", engine.load)):
+        try:
+            call("p")
+            out.append((step, "done"))
+        except VectorError as e:
+            out.append((step, str(e)))
+    return s.createDataFrame(out, "step string, said string")
+
+
+def _service(url: str, key: str, body: dict) -> dict:
+    """Stands in for the services: vectors of a text's length and its letters e, answers of the prompt's last line."""
+    if "messages" in body:
+        return {"choices": [{"message": {"content": f"{body['model']}: " + body["messages"][1]["content"].rsplit("\n", 1)[-1]}}]}
+    return {"data": [{"embedding": [float(len(t)), float(t.count("e"))]} for t in body["input"]]}
+
+
+def _embed_api(s: SparkSession, d: str) -> DataFrame:
+    made = _table(s, d, "benchmark").select("item_id", embedding(F.col("text"), ApiEmbedder("http://service", "key", "model", _service)).alias("v"))
+    return made.select("item_id", F.col("v")[0].cast("long").alias("letters"), F.col("v")[1].cast("long").alias("es"))
+
+
+def _embed_local(s: SparkSession, d: str) -> DataFrame:
+    made = _table(s, d, "benchmark").select("item_id", embedding(F.col("text"), HashingEmbedder(64)).alias("v"))
+    return made.select("item_id", F.round(norm(F.col("v")), 4).alias("length"), F.size("v").alias("dimension"))
+
+
+def _embed_auto(s: SparkSession, d: str) -> DataFrame:
+    """Which embedder the settings choose."""
+    names, out = ("EMBED_API_URL", "EMBED_API_KEY", "EMBED_MODEL_NAME"), []
+    before = {n: os.environ.pop(n, None) for n in names}
+    try:
+        out.append(("nothing", type(auto_embedder()).__name__))
+        os.environ["EMBED_API_URL"] = "http://service"
+        try:
+            auto_embedder()
+        except VectorError as e:
+            out.append(("address", str(e)))
+        os.environ |= {"EMBED_API_KEY": "key", "EMBED_MODEL_NAME": "model"}
+        out.append(("all", type(auto_embedder()).__name__))
+    finally:
+        for n in names:
+            os.environ.pop(n, None)
+        os.environ |= {n: v for n, v in before.items() if v is not None}
+    return s.createDataFrame(out, "setting string, chosen string")
+
+
+def _whole(s: SparkSession, d: str, chat: ApiChat | None = None) -> RagEngine:
+    """An engine whose chunks are whole texts."""
+    engine = RagEngine(s, Projects(s, _shared(s, "rag")), HashingEmbedder(64), chat)
+    engine.collection = Collection(engine.records_of(_table(s, d, "benchmark").select(F.concat(F.lit("item"), "item_id").alias("path"), "text"), 100_000))
+    return engine
+
+
+def _asked(s: SparkSession, d: str) -> list[str]:
+    """The texts of the items whose id is divisible by 20, which are what the engine is asked for."""
+    return [r["text"] for r in _table(s, d, "benchmark").where("item_id % 20 = 0").where(is_valid_chunk(F.col("text"))).orderBy("item_id").collect()]
+
+
+def _found(s: SparkSession, d: str, condition: str | None) -> DataFrame:
+    engine = _whole(s, d)
+    got = [(t, (engine.query_filtered(t, condition, 1) if condition else engine.query(t, 1))[0]) for t in _asked(s, d)]
+    return s.createDataFrame(got, "question string, text string")
 
 
-_QUESTION = "What is the heed thereain of the thing?"
+_VALID_ITEM = _VALID.replace("doc_id", "item_id")
+_ITEMS = f"SELECT text, count(*) AS n FROM benchmark WHERE {_VALID_ITEM} GROUP BY text"
 _add("chunk_documents", None, _chunk_documents)
-_add("rag_ingest", None, lambda s, d: _rag(s, d).collection.records().select("id", "source", "text"))
-_add("rag_query", None, lambda s, d: _rag_texts(s, _rag(s, d).query(_QUESTION, 5)))
-_add("rag_query_filtered", None, lambda s, d: _rag_texts(s, _rag(s, d).query_filtered(_QUESTION, 'source LIKE "item1%"', 5)))
-_add("rag_prompts", None, lambda s, d: _rag(s, d).prompts(_table(s, d, "conversations").where("role = 'user' and turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("question"))))
+_add("chunk_coverage", r"SELECT doc_id, md5(regexp_replace(text, '\s', '', 'g')) AS held, TRUE AS fits FROM documents", _chunk_coverage)
+_add("read_text_files", "SELECT text, count(*) AS n FROM benchmark GROUP BY text", lambda s, d: _read_back(s, d, 0))
+_add("read_pdf_files", "SELECT text, count(*) AS n FROM benchmark GROUP BY text", lambda s, d: _read_back(s, d, 2))
+_add("rag_ingest", f"SELECT text, n, TRUE AS embedded, TRUE AS all_kept FROM ({_ITEMS})", _ingested)
+_add("rag_projects", "SELECT * FROM (VALUES ('init', 'done'), ('init again', 'project ''p'' already exists'), ('load', 'project ''p'' is empty. Run ''add'' first.')) t(step, said)", _engine_errors)
+_add("embed_api", "SELECT item_id, length(text) AS letters, length(text) - length(replace(text, 'e', '')) AS es FROM benchmark", _embed_api)
+_add("embed_local", "SELECT item_id, 1.0::DOUBLE AS length, 64 AS dimension FROM benchmark", _embed_local)
+_add("embed_auto", "SELECT * FROM (VALUES ('nothing', 'HashingEmbedder'), ('address', 'EMBED_API_KEY not set'), ('all', 'ApiEmbedder')) t(setting, chosen)", _embed_auto)
+_add("rag_generate", "SELECT 'model: Question: Why is that?' AS answer", lambda s, d: s.createDataFrame([(_whole(s, d, ApiChat("http://service", "key", "model", _service)).generate("Why is that?"),)], "answer string"))
+_add("rag_query", f"SELECT text AS question, text FROM benchmark WHERE item_id % 20 = 0 AND {_VALID_ITEM}", lambda s, d: _found(s, d, None))
+_add("rag_query_filtered", f"SELECT text AS question, text FROM benchmark WHERE item_id % 20 = 0 AND {_VALID_ITEM}", lambda s, d: _found(s, d, 'source LIKE "item%" AND NOT source = "nothing"'))
+
+
+def _prompts(s: SparkSession, d: str) -> DataFrame:
+    asked = _table(s, d, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("question"))
+    made = _rag(s, d).prompts(asked)
+    return made.select("query_id", F.element_at(F.split("prompt", "\n\nQuestion: "), -1).alias("question"), (F.size(F.split("prompt", "\n---\n")) == 3).alias("three"))
+
+
+_add("rag_prompts", "SELECT conv_id || ':' || turn AS query_id, text AS question, TRUE AS three FROM conversations WHERE role = 'user'", _prompts)
+
+
+def _errors(s: SparkSession, d: str) -> DataFrame:
+    """What the parser says about conditions that are none."""
+    out = []
+    for text in _BROKEN:
+        try:
+            parse(text)
+            out.append((text, "parsed"))
+        except VectorError as e:
+            out.append((text, str(e).partition(":")[0]))
+    return s.createDataFrame(out, "condition string, said string")
+
+
+_BROKEN = ("", "price >", "price > 1 AND", "(price > 1", "price ! 1", "= 1", "price IN (", "price LIKE 5", 'name = "open')
+_add("filter_errors", "SELECT condition, 'filter parse error' AS said FROM (VALUES " + ", ".join(f"('{t}')" for t in _BROKEN) + ") t(condition)", _errors)
 
 
 def _rag_prompt(s: SparkSession, d: str) -> DataFrame:
-    near = knn.nearest_for_each(_embeddings(s, d), _batch(s, d, 20), 3, Metric.COSINE)
+    near = knn.nearest_for_each(_embeddings(s, d), _batch(s, d), 3, Metric.COSINE)
     texts = near.join(_table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     ranked = texts.groupBy("query_id").agg(F.collect_list(F.struct("rank", "text")).alias("ranked"))  # three rows a group
     return ranked.select("query_id", prompt_column(F.concat(F.lit("Which is "), F.col("query_id").cast("string"), F.lit("?")), F.col("ranked")).alias("prompt"))
@@ -420,6 +621,6 @@ _PAIR = _d("cosine", "CAST(e.embedding AS DOUBLE[])", "CAST(b.embedding AS DOUBL
 _add(
     "rag_prompt",
     "SELECT query_id, 'Answer the question using only the context below.' || chr(10) || chr(10) || 'Context:' || chr(10) || string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Question: Which is ' || query_id || '?' AS prompt "
-    f"FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT b.vec_id AS query_id, e.vec_id, {_PAIR} AS distance FROM embeddings e, embeddings b WHERE b.vec_id < 20)) JOIN documents ON vec_id = doc_id WHERE rank <= 3 GROUP BY query_id",
+    f"FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT b.vec_id AS query_id, e.vec_id, {_PAIR} AS distance FROM embeddings e, embeddings b WHERE b.vec_id % 20 = 0)) JOIN documents ON vec_id = doc_id WHERE rank <= 3 GROUP BY query_id",
     _rag_prompt,
 )

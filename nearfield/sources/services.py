@@ -28,6 +28,10 @@ from nearfield.errors import Other
 REQUEST_TEXTS, TRIES, WAIT = 64, 4, 0.5
 
 
+#: From address, key and body of a request to the answer.
+Post = Callable[[str, str, dict], dict]
+
+
 class Embedder(Protocol):
     def embed(self, texts: Sequence[str]) -> list[list[float]]: ...
 
@@ -64,10 +68,10 @@ def post_json(url: str, key: str, body: dict, timeout: float = 60) -> dict:
 
 
 class ApiEmbedder:
-    """A service that takes {model, input} and gives data[].embedding."""
+    """A service that takes {model, input} and gives data[].embedding; `post` is what sends a request."""
 
-    def __init__(self, url: str, key: str, model: str):
-        self.url, self.key, self.model = url, key, model
+    def __init__(self, url: str, key: str, model: str, post: Post | None = None):
+        self.url, self.key, self.model, self.post = url, key, model, post or post_json
 
     @classmethod
     def from_env(cls) -> ApiEmbedder:
@@ -80,7 +84,7 @@ class ApiEmbedder:
         out: list[list[float]] = []
         for a in range(0, len(texts), REQUEST_TEXTS):
             some = list(texts[a : a + REQUEST_TEXTS])
-            found = [d["embedding"] for d in post_json(self.url, self.key, {"model": self.model, "input": some})["data"]]
+            found = [d["embedding"] for d in self.post(self.url, self.key, {"model": self.model, "input": some})["data"]]
             if len(found) != len(some):
                 raise Other(f"{len(some)} texts sent, {len(found)} vectors received")
             out += found
@@ -147,8 +151,8 @@ def embedding(text: Column, embedder: Embedder) -> Column:
 class ApiChat:
     """A chat service with messages in and choices out. The names of settings and their defaults are fixed values."""
 
-    def __init__(self, url: str, key: str, model: str):
-        self.url, self.key, self.model = url, key, model
+    def __init__(self, url: str, key: str, model: str, post: Post | None = None):
+        self.url, self.key, self.model, self.post = url, key, model, post or post_json
 
     @classmethod
     def from_env(cls) -> ApiChat:
@@ -157,5 +161,5 @@ class ApiChat:
 
     def __call__(self, system: str, prompt: str) -> str:
         body = {"model": self.model, "temperature": 0.0, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
-        choices = post_json(self.url, self.key, body)["choices"]
+        choices = self.post(self.url, self.key, body)["choices"]
         return choices[0]["message"]["content"] if choices else ""
