@@ -56,29 +56,29 @@ class Counter:
     def segment(self, s: str) -> tuple[int, int]:
         """(pieces, unknown characters) of one segment; holds a window of its places only."""
         best, pieces, missing, open_run, base = [0.0], [0], [0], [False], 0
-        matches = self.automaton.iter(s)
+        single, unknown, most = self.single, self.unknown, WINDOW + 2 * self.reach
+        matches = iter(self.automaton.iter(s))
         coming = next(matches, None)
         for end, char in enumerate(s):
-            found = []
-            while coming is not None and coming[0] == end:
-                found.append(coming[1])
-                coming = next(matches, None)
             top, of = -math.inf, -1
-            for length, score in sorted(found, reverse=True):  # the longest first
+            while coming is not None and coming[0] == end:  # the longest first, as failure links go from long to short
+                length, score = coming[1]
                 at = end + 1 - length - base
-                if score + best[at] > top:
-                    top, of = score + best[at], at
-            if char not in self.single and (of < 0 or self.unknown + best[-1] > top):
+                value = score + best[at]
+                if value > top:
+                    top, of = value, at
+                coming = next(matches, None)
+            if char not in single and (of < 0 or unknown + best[-1] > top):
                 pieces.append(pieces[-1] + (len(char.encode("utf-8", "surrogatepass")) if self.fallback else not open_run[-1]))
                 missing.append(missing[-1] + 1)
-                best.append(self.unknown + best[-1])
+                best.append(unknown + best[-1])
                 open_run.append(True)
             else:
                 pieces.append(pieces[of] + 1)
                 missing.append(missing[of])
                 best.append(top)
                 open_run.append(False)
-            if len(best) > WINDOW + 2 * self.reach:
+            if len(best) > most:
                 for table in (best, pieces, missing, open_run):
                     del table[: WINDOW + self.reach]
                 base += WINDOW + self.reach
