@@ -7,17 +7,25 @@ cosine; it is rejected if it lies further away than nearly all texts of that lan
 training, with a margin.
 
 The document frequencies cover all training rows; only the centroids are fitted on a sample, of
-about ``PER_LANG`` rows a language, chosen by a hash of the id.
+about ``PER_LANG`` rows a language, chosen by a hash of the id, and for the ``LANGS`` values of lang that most
+training rows have. The driver holds the sample of one language at a time.
+
+The limit of rejection is half of the similarity that all but 2 % of a language's sample reach. Of texts of
+the tables here that were held out, it rejects less than one in a thousand, nearly all of them keys, numbers or
+shouting; of a language that was not learned nearly all (see the tests).
 
 Defined results. Null text, or text without a letter: ``und``, score 0, rejected. Nothing to learn
 from: every text is ``und``. Equal texts get equal results; a tie goes to the language that comes
-first in code point order. Further columns are left alone.
+first in code point order. An empty table makes no rows. Texts may be of any length, and are counted whole. Rows
+that share a doc_id are texts of their own; null ids are not held out. Further columns are left alone, but for
+those named like the results, which are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +36,8 @@ from pyspark.sql import types as T
 from nearfield.llm._shared import arrow_batches, held_out
 
 DIMS = 4096
-#: Labelled rows a language that the centroids are fitted on, and centroids a language.
-PER_LANG, CENTROIDS = 500, 4
+#: Labelled rows a language that the centroids are fitted on, centroids a language, languages at most.
+PER_LANG, CENTROIDS, LANGS = 500, 4, 512
 #: A text is rejected below this share of the similarity that all but REJECT_TAIL of a language's texts reach.
 #: Texts of languages that were not learned stay under 0.17 there, learned ones reach 0.34 and more.
 REJECT_SHARE, REJECT_TAIL = 0.5, 0.02
@@ -109,7 +117,9 @@ def fit(training: DataFrame, *, per_lang: int = PER_LANG, centroids: int = CENTR
     """Learns from columns doc_id, text, lang; rows with a null in any of them are left out."""
     arrow_batches(training.sparkSession)
     rows = training.select("doc_id", F.col("text").cast("binary").alias("text"), "lang").dropna()
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counted = rows.groupBy("lang").count()
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    sizes = {r["lang"]: r["count"] for r in counted.orderBy(F.col("count").desc(), "lang").limit(LANGS).collect()}
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(DIMS, np.int64)
@@ -122,7 +132,7 @@ def fit(training: DataFrame, *, per_lang: int = PER_LANG, centroids: int = CENTR
     seen = np.zeros(DIMS)
     for r in rows.select("text").mapInArrow(frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
         seen[r["place"]] = r["n"]
-    idf = (np.log((1 + sum(sizes.values())) / (1 + seen)) + 1).astype(np.float32)
+    idf = (np.log((1 + total) / (1 + seen)) + 1).astype(np.float32)
 
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_lang / n)))]) if sizes else None
 
@@ -133,19 +143,17 @@ def fit(training: DataFrame, *, per_lang: int = PER_LANG, centroids: int = CENTR
                 made = unit(counts(texts[a : a + _BLOCK]) * idf).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(made)), pa.array([v.tobytes() for v in made], pa.binary())], names=["lang", "vector"])
 
-    sample: dict[str, list[np.ndarray]] = {}
+    langs, found, owner, least = [], [], [], []
     if sizes:
         chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-        for r in chosen.select("lang", "text").mapInArrow(vectors, "lang string, vector binary").orderBy("lang", "vector").toLocalIterator():
-            sample.setdefault(r["lang"], []).append(np.frombuffer(bytes(r["vector"]), np.float16))
-    langs = sorted(sample)
-    found, owner, least = [], [], []
-    for i, lang in enumerate(langs):
-        x = unit(np.stack(sample[lang]).astype(np.float32))
-        c = spherical_kmeans(x, centroids)
-        found.append(c)
-        owner += [i] * len(c)
-        least.append(REJECT_SHARE * np.quantile((x @ c.T).max(1), REJECT_TAIL))
+        sample = chosen.select("lang", "text").mapInArrow(vectors, "lang string, vector binary").orderBy("lang", "vector")
+        for lang, several in groupby(sample.toLocalIterator(), lambda r: r["lang"]):
+            x = unit(np.stack([np.frombuffer(bytes(r["vector"]), np.float16) for r in several]).astype(np.float32))
+            c = spherical_kmeans(x, centroids)
+            found.append(c)
+            owner += [len(langs)] * len(c)
+            langs.append(lang)
+            least.append(REJECT_SHARE * np.quantile((x @ c.T).max(1), REJECT_TAIL))
     return Model(langs, idf, np.concatenate(found) if found else np.zeros((0, DIMS), np.float32), np.array(owner, int), np.array(least))
 
 

@@ -132,6 +132,49 @@ def test_language_rejects_what_was_left_out(spark):
         assert share([r for r in got if r.lang != left_out]) <= 0.02, left_out
 
 
+def plain_trigrams(text):
+    """Counts of byte trigrams by their place, from the definition."""
+    folded = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in text.encode())
+    padded = b" " + b" ".join(folded.split()) + b" "
+    return Counter((int.from_bytes(padded[i : i + 3], "big") * 2654435761 % 2**32) >> 20 for i in range(len(padded) - 2))
+
+
+def test_language_by_definition(spark, odd):
+    """Frequencies, vectors, cosines and limits of single texts, over dictionaries."""
+    docs = documents(spark, [(i, words(10 + i % 50, i) + (" été çà" if i % 2 else ""), "fr" if i % 2 else "en") for i in range(200)])
+    model = language.fit(docs)
+    table = [r.text for r in docs.collect()]
+    seen = Counter(place for t in table for place in plain_trigrams(t))
+    idf = {p: np.log((1 + len(table)) / (1 + n)) + 1 for p, n in seen.items()}
+    assert all(model.idf[p] == pytest.approx(idf.get(p, np.log(1 + len(table)) + 1), rel=1e-5) for p in range(language.DIMS))
+    for r in language.classify(docs.unionByName(odd), model).collect():
+        found = plain_trigrams(r.text or "")
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        weighed = {p: n * float(model.idf[p]) for p, n in found.items()}
+        length = sum(v * v for v in weighed.values()) ** 0.5
+        cosines = [sum(v * float(c[p]) for p, v in weighed.items()) / length for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert r.score == pytest.approx(max(0, cosines[best]), abs=1e-4) and (r.lang_pred == model.langs[model.owner[best]] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-4)
+        limit = model.least[model.owner[best]] * min(1, len(found) / language.ENOUGH) ** 0.5
+        assert r.rejected == (r.score < limit) or abs(r.score - limit) < 1e-4
+
+
+def test_language_rejects_junk(spark):
+    """Keys, encoded bytes and keyboard noise go; of held-out texts hardly any."""
+    import base64
+
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    tested = language.classify(docs.where(language.held_out(F.col("doc_id"))), model).collect()
+    assert sum(r.rejected for r in tested) <= 0.01 * len(tested)
+    junk = [base64.b64encode(rng.randbytes(150)).decode() for _ in range(60)] + [rng.randbytes(200).hex() for _ in range(60)] + [" ".join("".join(rng.choice("qxzjkvwpg") for _ in range(6)) for _ in range(40)) for _ in range(60)] + ["漢字仮名" * 30, "привет мир " * 20, "0x1f&&||;{}" * 20]
+    got = language.classify(documents(spark, list(enumerate(junk))), model).collect()
+    assert sum(r.rejected for r in got) >= 0.95 * len(got)
+
+
 def test_language_odd(spark, odd):
     assert language.identify(odd).count() == odd.count()
     assert language.identify(odd.limit(0)).count() == 0
