@@ -42,7 +42,7 @@ from nearfield.llm.components import components
 #: Characters of the shorter line from which linked lines may differ by one edit, by two.
 RULE = (8, 16)
 #: Of that many lines (by hash) one looks for keys that many lines share; keys of so many sampled lines, or lines, are refined; levels of segments.
-SAMPLED, HOT_SAMPLE, HOT, LEVELS = 64, 4, 256, 3
+SAMPLED, HOT_SAMPLE, HOT, LEVELS = 16, 4, 64, 3
 #: Bits of the bitmap that picks lines to look up: 2 MB at most, as rows of 64 bits.
 BITMAP = 1 << 23
 #: Bits that an edit flips in the bitmap of words at most: a blank put into a word, or taken out, changes three words.
@@ -112,18 +112,29 @@ def _key(wide: Column, start: Column, size: Column, length: Column, i: int) -> C
     return F.xxhash64(F.substring(wide, start, size), length, F.lit(i))
 
 
+def _compiled_apart(rows: DataFrame) -> DataFrame:
+    """The same rows; what stands before and behind is compiled to methods of its own.
+
+    One method of all the steps is too large for the JIT, or takes it gigabytes. A coalesce to more partitions than there
+    are moves nothing.
+    """
+    return rows.coalesce(1 << 30)
+
+
 def probed(rows: DataFrame, rule: tuple[int, ...], *others: Column) -> DataFrame:
     """The other columns and the keys p0, p1, ... of all probes of a column `line`; a line's index keys are those of d = 0 without a shift.
 
-    Done in steps, each a projection over columns: one expression of it all would be compiled to too large a method.
+    Done in steps, each a projection over columns.
     """
     assert all(least > edits for edits, least in enumerate(rule, 1)), "a line needs a character for each segment"
-    rows = rows.withColumns({"n": F.length("line"), "wide": F.encode("line", _WIDE)})
+    rows = rows.select(*others, F.length("line").alias("n"), F.encode("line", _WIDE).alias("wide"))
+    others = tuple(F.col(c) for c in rows.columns[: len(others)])
+    rows = _compiled_apart(rows)
     for step in _shapes(rule):
         rows = rows.withColumns(step)
     start = lambda d, i, x: F.lit(1) if not i else F.col(f"a{d}_{i}") + 4 * x if x else F.col(f"a{d}_{i}")
     keys = [F.when(F.col(f"m{d}") > least, _key(F.col("wide"), start(d, i, x), F.col(f"z{d}_{i}"), F.col(f"o{d}"), i)) for d, i, x, least in _moves(rule)]
-    return rows.select(*others, *[c.alias(f"p{k}") for k, c in enumerate(keys)])
+    return _compiled_apart(rows.select(*others, *[c.alias(f"p{k}") for k, c in enumerate(keys)]))
 
 
 def _places(line: Column, rule: tuple[int, ...], probing: bool) -> Column:
