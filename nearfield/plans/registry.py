@@ -23,6 +23,7 @@ from nearfield.plans.compile import TypedFields, VariantFields, by_set_algebra,
 from nearfield.plans.filters import Not, parse
 from nearfield.sources.services import ApiChat, ApiEmbedder, HashingEmbedder, auto_embedder, embedding
 from nearfield.sources.store import Projects, from_json, read_texts, to_json
+from nearfield.streaming import search as streams
 from nearfield.workers import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -594,6 +595,28 @@ def _prompts(s: SparkSession, d: str) -> DataFrame:
 _add("rag_prompts", "SELECT conv_id || ':' || turn AS query_id, text AS question, TRUE AS three FROM conversations WHERE role = 'user'", _prompts)
 
 
+def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    return s.readStream.schema(_table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _stream_filtered(s: SparkSession, d: str) -> DataFrame:
+    path = _shared(s, "stream")
+    streams.ingest(streams.filtered(_stream(s, d, "events"), 'event_type = "click" AND value > 100'), path, _shared(s, "offsets")).awaitTermination()
+    return s.read.parquet(path).select("event_id")
+
+
+def _stream_answered(s: SparkSession, d: str) -> DataFrame:
+    path = _shared(s, "answers")
+    asked = _stream(s, d, "embeddings").where(_ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    streams.answer(asked, Collection(_embeddings(s, d)), 5, Metric.EUCLIDEAN, path, _shared(s, "offsets")).awaitTermination()
+    return _batch_out(s.read.parquet(path))
+
+
+_add("stream_filtered", "SELECT event_id FROM events WHERE event_type = 'click' AND value > 100", _stream_filtered)
+_add("stream_answered", _batch_sql("euclidean"), _stream_answered)
+
+
 def _errors(s: SparkSession, d: str) -> DataFrame:
     """What the parser says about conditions that are none."""
     out = []
