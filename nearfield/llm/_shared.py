@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from nearfield.workers import ship
 
 #: Bytes of one Arrow batch sent to a Python worker; long rows make smaller batches.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Ranges of ids at most, so that what the driver knows of them is bounded; sampled ids a range.
 MOST_RANGES, POINTS = 1 << 16, 32
 

@@ -32,8 +32,8 @@ from nearfield.llm.neardup import Shingler
 
 #: Words of a window, and the windows (some 500 bytes each in a worker) that a broadcast may hold.
 WINDOW, MAX_WINDOWS = 8, 200_000
-#: Bits of the bitmap of windows where they are more.
-BITMAP = 1 << 27
+#: Bits of the bitmap of windows where they are more; bytes of texts that are scanned at once.
+BITMAP, SLICE = 1 << 27, 1 << 20
 #: Items from which a document counts as contaminated.
 MIN_ITEMS = 2
 
@@ -93,7 +93,21 @@ class WindowSet:
         return out
 
     def scan(self, texts: list[bytes | None]) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
-        """For each text: its number of words, the hit runs [from, to) in words, the items found."""
+        """For each text: its number of words, the hit runs [from, to) in words, the items found.
+
+        So many texts at once as make SLICE bytes, as their words stand in memory one by one.
+        """
+        some, held = [], 0
+        for t in texts:
+            some.append(t)
+            held += len(t or b"")
+            if held >= SLICE:
+                yield from self._scan(some)
+                some, held = [], 0
+        if some:
+            yield from self._scan(some)
+
+    def _scan(self, texts: list[bytes | None]) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
         joined = b" \x01 ".join((t or b"").translate(_FOLD) for t in texts) + b" \x01"
         tokens = joined.split()
         #: 0 ends a text, -1 is a word of no window.

@@ -378,24 +378,33 @@ def links(docs: DataFrame, lines: DataFrame, rule: tuple[int, ...] = RULE) -> Da
     return near.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
-def line_classes(docs: DataFrame, rule: tuple[int, ...] = RULE) -> DataFrame:
-    """One row a distinct line: id (its hashes), first_doc, copies, class (an id), n_links."""
+def _linked(docs: DataFrame, rule: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """The distinct lines, and of those that have links the class (label) and their number: h1, h2, label, n_links."""
     lines = stage(distinct_lines(docs, rule), "lines")
     found = stage(links(docs, lines, rule), "line-links")
     labels = components(found).select(F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"), F.col("component").alias("label"))
     degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links")).select("id.h1", "id.h2", "n_links")
-    linked = stage(labels.join(degree, ["h1", "h2"]), "line-labels")
+    return lines, stage(labels.join(degree, ["h1", "h2"]), "line-labels")
+
+
+def line_classes(docs: DataFrame, rule: tuple[int, ...] = RULE) -> DataFrame:
+    """One row a distinct line: id (its hashes), first_doc, copies, class (an id), n_links."""
+    lines, linked = _linked(docs, rule)
     rows = lines.select("h1", "h2", "first_doc", "copies").join(linked, ["h1", "h2"], "left")
     return rows.select(F.struct("h1", "h2").alias("id"), "first_doc", "copies", F.coalesce("label", F.struct("h1", "h2")).alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _keepers(docs: DataFrame, rule: tuple[int, ...]) -> DataFrame:
     """One row a distinct line: h1, h2, class, n_links and keeper, the least doc_id that holds a line of its class."""
-    classes = stage(line_classes(docs, rule).select("id.h1", "id.h2", "class", "first_doc", "n_links"), "line-classes")
-    firsts = stage(classes.groupBy(F.col("class").alias("of")).agg(F.min("first_doc").alias("keeper")), "line-firsts")
-    out = stage(classes.join(firsts, F.col("class") == F.col("of")).select("h1", "h2", "class", "n_links", "keeper"), "line-keepers")
-    drop_staged(classes)
-    drop_staged(firsts)
+    lines, linked = _linked(docs, rule)
+    firsts = lines.select("h1", "h2", "first_doc")
+    # Only lines with links need another line's document.
+    keeper = stage(firsts.join(linked, ["h1", "h2"]).groupBy(F.col("label").alias("of")).agg(F.min("first_doc").alias("keeper")), "line-firsts")
+    named = stage(linked.join(keeper, F.col("label") == F.col("of")).drop("of"), "line-named")
+    rows = firsts.join(named, ["h1", "h2"], "left")
+    rows = rows.select("h1", "h2", F.coalesce("label", F.struct("h1", "h2")).alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("label").isNull(), F.col("first_doc")).otherwise(F.col("keeper")).alias("keeper"))
+    out = stage(rows, "line-keepers")
+    drop_staged(lines)
     return out
 
 

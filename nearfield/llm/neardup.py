@@ -15,7 +15,8 @@ at most ``MEMBERS`` members under different labels are compared, sketches inside
 that pass leave it. Members of larger buckets (a template that thousands of unlike texts share) meet
 by their rarest shingles instead: sets of similarity t have a shingle in common among the (1 - t) share of
 theirs that comes first in any one order of all shingles, so with rare ones first the common ones never make
-pairs. That search is exact, so no link that a bucket holds is missed.
+pairs. The place of the shingle in both bounds how many more they can have in common, which drops pairs that
+are merely alike. That search is exact, so no link that a bucket holds is missed.
 
 Two sets at a threshold of 0.85 share no band with probability (1 - 0.85**4)**20 = 4e-7; at 0.8, with 3e-5.
 
@@ -64,7 +65,7 @@ _rng = np.random.Generator(np.random.PCG64(20240501))
 _XOR = _rng.integers(0, 1 << 63, SAMPLES, np.uint64)[:, None]
 _MULTIPLY = (_rng.integers(0, 1 << 63, SAMPLES, np.uint64) << np.uint64(1) | np.uint64(1))[:, None]
 #: Words that a worker remembers, and bytes of those that it does.
-_MEMO, _MEMO_BYTES = 300_000, 64
+_MEMO, _MEMO_BYTES = 200_000, 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -210,9 +211,10 @@ def _all_pairs(entries: DataFrame, sets: DataFrame, nodes: DataFrame, link: int)
 
 
 def _rare_pairs(entries: DataFrame, sets: DataFrame, link: int) -> DataFrame:
-    """Pairs (a, b) of members with different labels that have one of their rarest shingles in common.
+    """Pairs (a, b) of members with different labels that have one of their rarest shingles in common and may be alike.
 
-    What is rare is told by a table of fixed size, counts of shingles by their first bits; any order would be exact.
+    What is rare is told by a table of fixed size, counts of shingles by their first bits; any order would be exact. Shingles
+    that one member alone has go before the sketches come; these are compared inside the join.
     """
     spark = entries.sparkSession
     members = stage(entries.select("node", "label").distinct(), "nd-members")
@@ -232,14 +234,19 @@ def _rare_pairs(entries: DataFrame, sets: DataFrame, link: int) -> DataFrame:
                 x = values[a:b]
                 firsts.append(x[np.lexsort((x, shared.value[x >> np.uint64(64 - COUNT_BITS)]))[: len(x) - -(-len(x) * link // 100) + 1]])
             own = np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), *(batch.column(i).take(pa.array(own)) for i in range(3))], names=["token", "node", "label", "n"])
+            behind = np.concatenate([len_ - np.arange(len(f)) for f, len_ in zip(firsts, np.diff(ends).tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), *(batch.column(i).take(pa.array(own)) for i in range(3)), pa.array(behind, pa.int64())], names=["token", "node", "label", "n", "behind"])
 
-    tokens = stage(known.mapInArrow(run, "token long, node binary, label binary, n long"), "nd-tokens")
+    # `behind` counts the shingles of the set from this one on.
+    tokens = stage(known.mapInArrow(run, "token long, node binary, label binary, n long, behind long"), "nd-tokens")
     several = tokens.groupBy(F.col("token").alias("of")).agg(F.count("*").alias("times")).where("times > 1").select("of")
     tokens = stage(tokens.join(several, F.col("token") == F.col("of")).drop("of"), "nd-met")
+    tokens = tokens.join(sets.select("class_key", "sketch"), F.col("node") == F.col("class_key")).drop("class_key")
     a, b = (tokens.select(*[F.col(c).alias(f"{side}_{c}") for c in tokens.columns]) for side in "ab")
-    alike = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * link
-    met = a.join(b, (F.col("a_token") == F.col("b_token")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & alike)
+    # A linked pair's first common shingle stands where so many are behind it in both sets as the pair must have in common.
+    alike = F.least("a_behind", "b_behind") * (100 + link) >= (F.col("a_n") + F.col("b_n")) * link
+    differ = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
+    met = a.join(b, (F.col("a_token") == F.col("b_token")) & differ & alike & _alike("a_", "b_", link))
     return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
@@ -284,7 +291,7 @@ def _links(opened: DataFrame, pairs: int, sets: DataFrame, nodes: DataFrame, lin
     few, many = opened.where(F.col("members") <= MEMBERS).drop("members"), opened.where(F.col("members") > MEMBERS)
     links = links.unionByName(stage(_confirmed(_all_pairs(few, sets, nodes, link), sets, link), "nd-links"))
     if not many.isEmpty():
-        links = links.unionByName(stage(_confirmed(_sketched(_rare_pairs(many, sets, link), sets, link), sets, link), "nd-links"))
+        links = links.unionByName(stage(_confirmed(_rare_pairs(many, sets, link), sets, link), "nd-links"))
     return links
 
 

@@ -159,7 +159,7 @@ def records_of(content: bytes) -> Iterator[tuple[int, int, list[int | None], np.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+| ?[0-9²³¹¼½¾]+| ?[^\sA-Za-z0-9ªµºÀ-ÖØ-öø-ſ²³¹¼½¾]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ſ]*")
 #: Pre-tokens that a worker remembers, and characters of those that it does.
-_MEMO, _MEMO_CHARS = 400_000, 32
+_MEMO, _MEMO_CHARS = 250_000, 32
 
 
 def _byte_letters() -> dict[int, int]:

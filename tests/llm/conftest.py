@@ -16,7 +16,7 @@ def documents(spark, rows, **extra):
     """Rows of (doc_id, text[, lang[, source]]) as a documents table, with columns that clash with those of operators."""
     full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", len(r[1] or "")) for r in rows]
     df = spark.createDataFrame(full, SCHEMA)
-    for name in ("key", "id", "score", "component_id", "kept", "part", "size", "target", "n", "label"):
+    for name in ("key", "id", "score", "component_id", "kept", "part", "size", "target", "n", "label", "_gone", "_key", "_copy", "_nf_of", "_nf_row", "_language_rejected", "line", "h1"):
         df = df.withColumn(name, df["n_chars"].cast("string"))
     return df
 

@@ -12,7 +12,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from nearfield.llm import _shared as shared
 from nearfield.llm import components, decontaminate, fingerprint, language, lines, mixing, neardup, quality, queries, tokens, unigram, warc
 from tests.llm.conftest import SCHEMA, documents, words
