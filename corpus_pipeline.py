@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm import decontaminate, language, mixing, neardup, tokens
-from nearfield.llm._shared import discard, held_out, scratch, stage
+from nearfield.llm._shared import discard, held_out, private, scratch, stage
 
 #: Similarity of word shingles, in hundredths, from which documents are near-duplicates here.
 LINK = 80
@@ -22,7 +22,8 @@ LINK = 80
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(~held_out(F.col("doc_id"))))
-    return language.classify(docs, model, "_language_").where("not _language_rejected").select(*docs.columns)
+    prefix = private(docs)("")  # no column of the documents begins with it
+    return language.classify(docs, model, prefix).where(~F.col(f"{prefix}rejected")).select(*docs.columns)
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
