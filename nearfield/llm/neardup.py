@@ -56,8 +56,8 @@ def most_bits(samples: int = SAMPLES, bits: int = SKETCH_BITS, link: int = LINK)
 
 #: Hub rounds at most, and the share of pairs that a round must leave or less for another one to follow.
 MOST_ROUNDS, WORTH = 8, 0.7
-#: Members of a bucket whose pairs are all compared; bits of a shingle by which its kind is counted.
-MEMBERS, COUNT_BITS = 64, 20
+#: Members of a bucket whose pairs are all compared, so half as many comparisons an entry at most; bits of a shingle by which its kind is counted.
+MEMBERS, COUNT_BITS = 2048, 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M = np.uint64(0x9E3779B97F4A7C15)

@@ -395,6 +395,7 @@ def templated(n, rng):
 def test_template_makes_no_pairs_of_all(spark, monkeypatch):
     """Buckets of many unlike members: pairs are in proportion to documents, links those of all pairs."""
     made, rare = {}, neardup._rare_pairs
+    monkeypatch.setattr(neardup, "MEMBERS", 64)
 
     def counting(entries, sets, link):
         pairs = shared.stage(rare(entries, sets, link), "counted")
