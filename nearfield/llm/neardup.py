@@ -10,7 +10,7 @@ off. Pairs that may be linked by their sizes and sketches are confirmed on the f
 
 A bucket may hold thousands of near copies, so its pairs are not all made. First each member is paired
 with one hub, and confirmed links give members the label of their hub. Pairs under one label need no
-comparison; hub rounds go on while they make the other pairs markedly fewer. Then the pairs of a bucket of
+comparison; hub rounds go on while the other pairs are more than in proportion to the members and become fewer. Then the pairs of a bucket of
 at most ``MEMBERS`` members under different labels are compared, sketches inside the join, so that only pairs
 that pass leave it. Members of larger buckets (a template that thousands of unlike texts share) meet
 by their rarest shingles instead: sets of similarity t have a shingle in common among the (1 - t) share of
@@ -54,8 +54,10 @@ def most_bits(samples: int = SAMPLES, bits: int = SKETCH_BITS, link: int = LINK)
     return round(mean + 4 * mean**0.5)
 
 
-#: Hub rounds at most, and the share of pairs that a round must leave or less for another one to follow.
-MOST_ROUNDS, WORTH = 8, 0.7
+#: Hub rounds at most; pairs an entry from which another one follows, if the last one left no more than this share of them.
+MOST_ROUNDS, PAIRS, WORTH = 8, 2, 0.9
+#: Buckets of a member with whose hubs it is paired in a round, the largest first.
+HUBS = 4
 #: Members of a bucket whose pairs are all compared, so half as many comparisons an entry at most; bits of a shingle by which its kind is counted.
 MEMBERS, COUNT_BITS = 2048, 20
 
@@ -185,14 +187,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
 
 
 def _hub_pairs(entries: DataFrame, sets: DataFrame, turn: int, link: int) -> DataFrame:
-    """Each member of a bucket with the bucket's hub, if they have different labels and may be alike.
+    """Each member with the hubs of HUBS of its buckets, if they have different labels and may be alike.
 
-    `entries` has bucket, node, label.
+    `entries` has bucket, node, label, members. A group's members meet in many buckets, of which a few connect them.
     """
     rank = F.xxhash64("node", F.lit(turn))
     least = F.min(F.struct(rank.alias("rank"), "node", "label"))
     hubs = stage(entries.groupBy("bucket").agg(least.alias("h")).select(F.col("bucket").alias("of"), F.col("h.node").alias("hub"), F.col("h.label").alias("hub_label")), "nd-hubs")
-    return _sketched(entries.join(hubs, F.col("bucket") == F.col("of")).where("label != hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), sets, link)
+    met = entries.join(hubs, F.col("bucket") == F.col("of")).where("label != hub_label")
+    # One row a node and hub, BANDS of them a node at most; later rounds take other buckets.
+    size = F.max("members") if not turn else F.lit(0).cast("long")
+    met = met.groupBy("node", "hub").agg(size.alias("members"), F.max(F.xxhash64("bucket", F.lit(turn))).alias("rank"))
+    some = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("members", "rank", "hub")), False), 1, HUBS).alias("hubs"))
+    return _sketched(some.select(F.col("node").alias("a"), F.explode("hubs").alias("h")).select("a", F.col("h.hub").alias("b")), sets, link)
 
 
 def _all_pairs(entries: DataFrame, sets: DataFrame, nodes: DataFrame, link: int) -> DataFrame:
@@ -268,13 +275,13 @@ def _relabelled(entries: DataFrame, links: DataFrame) -> DataFrame:
     return entries.join(moves, F.col("label") == F.col("from"), "left").select("bucket", "node", F.coalesce("to", "label").alias("label"))
 
 
-def _open(entries: DataFrame) -> tuple[DataFrame, int]:
-    """The entries of buckets with several labels, and the number of pairs under different labels."""
+def _open(entries: DataFrame) -> tuple[DataFrame, int, int]:
+    """The entries of buckets with several labels, the number of pairs under different labels, and that of entries."""
     known = stage(entries, "nd-labelled")
     sizes = known.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy(F.col("bucket").alias("of")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels")).where("labels > 1")
     sizes = stage(sizes, "nd-sizes")
-    pairs = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0))).first()[0]
-    return known.join(sizes.select("of", F.col("n").alias("members")), F.col("bucket") == F.col("of")).drop("of"), int(pairs)
+    pairs, held = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return known.join(sizes.select("of", F.col("n").alias("members")), F.col("bucket") == F.col("of")).drop("of"), int(pairs), int(held)
 
 
 def _links(opened: DataFrame, pairs: int, sets: DataFrame, nodes: DataFrame, link: int) -> DataFrame:
@@ -283,8 +290,8 @@ def _links(opened: DataFrame, pairs: int, sets: DataFrame, nodes: DataFrame, lin
     for turn in range(MOST_ROUNDS):
         found = stage(_confirmed(_hub_pairs(opened, sets, turn, link), sets, link), "nd-links")
         links = found if links is None else links.unionByName(found)
-        before, (opened, pairs) = pairs, _open(_relabelled(opened, found))
-        if pairs > WORTH * before or not pairs:
+        before, (opened, pairs, held) = pairs, _open(_relabelled(opened, found))
+        if pairs <= PAIRS * held or pairs > WORTH * before:
             break
     if not pairs:
         return links
@@ -302,7 +309,7 @@ def classes(docs: DataFrame, link: int = LINK) -> tuple[DataFrame, DataFrame]:
     nodes = stage(usable.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nd-nodes")
     entries = nodes.select(F.explode("bands").alias("bucket"), F.col("class_key").alias("node"))
     buckets = stage(entries.groupBy(F.col("bucket").alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of"), "nd-buckets")
-    opened, pairs = _open(entries.join(buckets, F.col("bucket") == F.col("of")).select("bucket", "node", F.col("node").alias("label")))
+    opened, pairs, _ = _open(entries.join(buckets, F.col("bucket") == F.col("of")).select("bucket", "node", F.col("node").alias("label")))
     known = nodes.select("class_key", "rep")
     if not pairs:
         return profile, known.select("class_key", F.col("rep").alias("component"))
