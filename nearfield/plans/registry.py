@@ -596,8 +596,9 @@ _add("rag_prompts", "SELECT conv_id || ':' || turn AS query_id, text AS question
 
 
 def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
-    """A table as a stream of its files."""
-    return s.readStream.schema(_table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table as a stream of its files, be it one file or a folder."""
+    # As a pattern, since a stream takes a plain path for a folder.
+    return s.readStream.schema(_table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def _stream_filtered(s: SparkSession, d: str) -> DataFrame:
