@@ -9,10 +9,12 @@ equi-join, inside which bitmaps of the lines' words, in which an edit flips thre
 most pairs; counts of letters, which an edit changes by two at most, drop more of them where texts are at hand. What remains is verified by a banded bit-parallel edit distance: a word of 2 * e + 1 bits
 slides down the diagonal, one column of the table a step.
 
-A segment that very many lines have in common (a time, a license's first words) would make all their
-pairs. Such keys are found in a sample of the lines, and their lines meet otherwise: what stands beside the
-segment is within e edits too, so it is split into e + 1 segments itself, and lines meet if they share one of
-those as well; so on up to ``LEVELS`` deep. No pair within the edits is missed by it.
+A segment that many lines have in common (a time, a license's first words) would make all their
+pairs. A sample of the lines tells whether there are such keys; if so, the lines of each key are counted. What
+stands beside the segment is within e edits too: under keys of some lines it is compared inside the join, so that only
+lines whose rests are that near make a pair. Under keys of very many it is split into e + 1 segments itself, and lines
+meet if they share one of those as well; so on up to ``LEVELS`` deep, where rests are compared too. No pair within the
+edits is missed by it.
 
 Linked lines form classes, and of each class the first line in order of (doc_id, position) is kept.
 Classes may chain: a and c can be in one class by way of b.
@@ -41,8 +43,10 @@ from nearfield.llm.components import components
 
 #: Characters of the shorter line from which linked lines may differ by one edit, by two.
 RULE = (8, 16)
-#: Of that many lines (by hash) one looks for keys that many lines share; keys of so many sampled lines, or lines, are refined; levels of segments.
+#: Of that many lines (by hash) one looks for keys that many lines share; keys of so many sampled lines make that keys are counted; keys of so many lines are refined; levels of segments.
 SAMPLED, HOT_SAMPLE, HOT, LEVELS = 16, 4, 64, 3
+#: Where keys are counted, lines under keys of that many compare what stands beside them inside the join.
+SHARED = 8
 #: Bits of the bitmap that picks lines to look up: 2 MB at most, as rows of 64 bits.
 BITMAP = 1 << 23
 #: Bits that an edit flips in the bitmap of words at most: a blank put into a word, or taken out, changes three words.
@@ -281,14 +285,17 @@ def _entries(lines: DataFrame, rule: tuple[int, ...], probing: bool) -> DataFram
     return rows.where("key is not null").select("key", "h", "sketch")
 
 
-def _meet(index: DataFrame, probe: DataFrame, most: Column) -> DataFrame:
-    """Pairs (a, b) of lines that share a key and whose words, and letters if they are there, are no further apart than `most` edits make them."""
-    known = [c for c in ("sketch", "letters") if c in index.columns]
+def _meet(index: DataFrame, probe: DataFrame, most: Column, limit: int = 0) -> DataFrame:
+    """Pairs (a, b) of lines that share a key and whose words, and letters and rests if they are there, are no further apart than `most` edits, `limit` at most, make them."""
+    known = [c for c in ("sketch", "letters", "rest") if c in index.columns]
     a = index.select(F.col("key").alias("a_key"), F.col("h").alias("a"), *[F.col(c).alias(f"a_{c}") for c in known], *[c for c in index.columns if c == "edits"])
     b = probe.select(F.col("key").alias("b_key"), F.col("h").alias("b"), *[F.col(c).alias(f"b_{c}") for c in known])
     near = F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= FLIPS * most
     if "letters" in known:
         near = near & (_letters_apart(F.col("a_letters"), F.col("b_letters")) <= 2 * most)
+    if "rest" in known:
+        # Beyond the limit levenshtein is -1, of which pmod makes more than the limit.
+        near = near & (F.pmod(F.levenshtein("a_rest", "b_rest", limit), F.lit(limit + 2)) <= most)
     met = a.join(b, (F.col("a_key") == F.col("b_key")) & (F.col("a") != F.col("b")) & near)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -317,26 +324,27 @@ def _inside(rows: DataFrame, hot: DataFrame, most: int, probing: bool) -> DataFr
     return kept.select("h", "sketch", "letters", "edits", "d", F.explode(made).alias("p")).select("p.key", "h", "sketch", "letters", "edits", "d", "p.rest")
 
 
-def _refined(docs: DataFrame, lines: DataFrame, hot: DataFrame, rule: tuple[int, ...]) -> DataFrame:
-    """Pairs of lines that meet under hot keys: they share a segment of what stands beside the key too."""
+def _refined(docs: DataFrame, lines: DataFrame, shared: DataFrame, rule: tuple[int, ...]) -> DataFrame:
+    """Pairs of lines that meet under shared keys (key, n): what stands beside the key is within the edits too, and under hot keys they share a segment of it."""
     most = len(rule)
-    either = _entries(lines, rule, True).join(hot.select(F.col("key").alias("hot")), F.col("key") == F.col("hot"))
+    either = _entries(lines, rule, True).join(shared.select(F.col("key").alias("hot")), F.col("key") == F.col("hot"))
     wanted = stage(either.select(F.col("h").alias("h1")).distinct(), "line-hot")
     known = lines.select("h1", "h2", "sketch").join(wanted, "h1").select("h1", "h2", "sketch")
     texts = _picked(occurrences(docs), wanted).distinct().join(known, ["h1", "h2"])
     texts = stage(texts.select(F.col("h1").alias("h"), "sketch", _letters(F.col("line")).alias("letters"), "line"), "line-hot-texts")
     index, probe = (texts.select("h", "sketch", "letters", F.explode(_places(F.col("line"), rule, x)).alias("p")) for x in (False, True))
     index, probe = (x.select("p.key", "h", "sketch", "letters", "p.edits", "p.d", "p.rest") for x in (index, probe))
-    found = None
-    for level in range(1, LEVELS):
+    warm, hot = shared.where(F.col("n") < HOT).select(F.col("key").alias("warm")), shared.where(F.col("n") >= HOT).select("key")
+    under = [x.join(warm, F.col("key") == F.col("warm")).drop("warm") for x in (index, probe)]
+    found = stage(_meet(*under, F.col("edits"), most).distinct(), "line-pairs")
+    for level in range(1, 1 if hot.isEmpty() else LEVELS):
         index, probe = stage(_inside(index, hot, most, False), "line-index"), stage(_inside(probe, hot, most, True), "line-probe")
         cold = index
         if level < LEVELS - 1:
             hot = stage(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("key"), "line-hot-keys")
             if not hot.isEmpty():
                 cold = index.join(hot, "key", "left_anti")
-        pairs = stage(_meet(cold, probe, F.col("edits")).distinct(), "line-pairs")
-        found = pairs if found is None else found.unionByName(pairs)
+        found = found.unionByName(stage(_meet(cold, probe, F.col("edits"), most).distinct(), "line-pairs"))
         if cold is index:
             break
     return found
@@ -350,8 +358,9 @@ def candidates(docs: DataFrame, lines: DataFrame, rule: tuple[int, ...] = RULE)
     most = F.lit(len(rule))
     if hot.isEmpty():
         return _meet(index, probe, most).distinct()
-    cold = index.join(hot.select(F.col("key").alias("hot")), F.col("key") == F.col("hot"), "left_anti")
-    return _meet(cold, probe, most).unionByName(_refined(docs, lines, hot, rule)).distinct()
+    shared = stage(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED), "line-shared-keys")
+    cold = index.join(shared.select(F.col("key").alias("hot")), F.col("key") == F.col("hot"), "left_anti")
+    return _meet(cold, probe, most).unionByName(_refined(docs, lines, shared, rule)).distinct()
 
 
 def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:

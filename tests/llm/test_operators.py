@@ -632,6 +632,32 @@ def test_common_segment_makes_no_pairs_of_all(spark):
     assert all(20 <= m <= 2 * n for n, m in made.items())
 
 
+@pytest.mark.parametrize(("shared", "hot"), [(2, 4), (2, 1000)])
+def test_rests_compared_inside_the_join_miss_no_pair(spark, monkeypatch, shared, hot):
+    for name, value in (("SAMPLED", 1), ("HOT_SAMPLE", 2), ("SHARED", shared), ("HOT", hot)):
+        monkeypatch.setattr(lines, name, value)
+    rng = random.Random(9)
+    texts = near_lines(rng, 30) + near_lines(rng, 30, prefix="2024-01-01 12:00:00 ") + near_lines(rng, 30, suffix=" all rights reserved")
+    found, want = linked_lines(spark, texts, lines.RULE)
+    assert found == want and len(want) > 50
+
+
+@pytest.mark.parametrize("size", [40, 400])
+def test_near_copies_beyond_the_edits_make_no_pairs_of_all(spark, size):
+    """Copies of a line with one word in other orders of its letters: by words and letters they may be two edits apart."""
+    rng = random.Random(3)
+    base = [words(12, i) for i in range(10 if size == 40 else 1)]
+    orders = [list("abcdefgh") for _ in range(size)]
+    for o in orders:
+        rng.shuffle(o)
+    texts = sorted({" ".join([*b.split()[:6], "".join(o), *b.split()[6:]]) for b in base for o in orders})
+    docs = documents(spark, list(enumerate(texts)))
+    known = lines.distinct_lines(docs).cache()
+    assert lines.candidates(docs, known).count() <= 2 * len(texts)
+    found, want = linked_lines(spark, texts, lines.RULE)
+    assert found == want
+
+
 # 7
 
 
