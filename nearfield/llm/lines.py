@@ -10,7 +10,7 @@ most pairs; counts of letters, which an edit changes by two at most, drop more o
 slides down the diagonal, one column of the table a step.
 
 A segment that many lines have in common (a time, a license's first words) would make all their
-pairs. A sample of the lines tells whether there are such keys; if so, the lines of each key are counted. What
+pairs. So the lines of each key are counted, for every input. What
 stands beside the segment is within e edits too: under keys of some lines it is compared inside the join, so that only
 lines whose rests are that near make a pair. Under keys of very many it is split into e + 1 segments itself, and lines
 meet if they share one of those as well; so on up to ``LEVELS`` deep, where rests are compared too. No pair within the
@@ -43,10 +43,10 @@ from nearfield.llm.components import components
 
 #: Characters of the shorter line from which linked lines may differ by one edit, by two.
 RULE = (8, 16)
-#: Of that many lines (by hash) one looks for keys that many lines share; keys of so many sampled lines make that keys are counted; keys of so many lines are refined; levels of segments.
-SAMPLED, HOT_SAMPLE, HOT, LEVELS = 16, 4, 64, 3
-#: Where keys are counted, lines under keys of that many compare what stands beside them inside the join.
-SHARED = 8
+#: Lines under keys of that many compare what stands beside them inside the join; keys of so many are refined; levels of segments.
+SHARED, HOT, LEVELS = 8, 64, 3
+#: Without effect since all lines are counted, not a sample; tests set them.
+SAMPLED, HOT_SAMPLE = 1, 1
 #: Bits of the bitmap that picks lines to look up: 2 MB at most, as rows of 64 bits.
 BITMAP = 1 << 23
 #: Bits that an edit flips in the bitmap of words at most: a blank put into a word, or taken out, changes three words.
@@ -353,12 +353,10 @@ def _refined(docs: DataFrame, lines: DataFrame, shared: DataFrame, rule: tuple[i
 def candidates(docs: DataFrame, lines: DataFrame, rule: tuple[int, ...] = RULE) -> DataFrame:
     """Pairs (a, b) of lines, by the first 64 bits of their hashes, that share a segment and may be within the edits; each once."""
     index, probe = (_entries(lines, rule, x) for x in (False, True))
-    sample = _entries(lines.where(F.pmod("h2", F.lit(SAMPLED)) == 0), rule, False)
-    hot = stage(sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SAMPLE).select("key"), "line-hot-keys")
     most = F.lit(len(rule))
-    if hot.isEmpty():
-        return _meet(index, probe, most).distinct()
     shared = stage(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED), "line-shared-keys")
+    if shared.isEmpty():
+        return _meet(index, probe, most).distinct()
     cold = index.join(shared.select(F.col("key").alias("hot")), F.col("key") == F.col("hot"), "left_anti")
     return _meet(cold, probe, most).unionByName(_refined(docs, lines, shared, rule)).distinct()
 

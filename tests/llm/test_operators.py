@@ -465,6 +465,13 @@ def test_components(spark):
     assert got == {x: root(x) for x in linked}
 
 
+def test_components_of_few_links_take_one_task_a_step(spark):
+    edges = spark.createDataFrame([(5, 1), (5, 3), (4, 3), (9, 8), (9, 2)], "a long, b long").repartition(4, "a")
+    for large in (True, False):
+        each, one = components._star(edges, large), components._star(edges, large, True)
+        assert sorted(each.collect()) == sorted(one.collect()) and len(one.inputFiles()) == 1
+
+
 # 6
 
 
@@ -658,6 +665,19 @@ def test_near_copies_beyond_the_edits_make_no_pairs_of_all(spark, size):
     assert found == want
 
 
+def test_keys_of_few_lines_are_counted_whatever_the_size(spark):
+    """24 such lines beside 2,000 unlike ones: too few for a sample to show."""
+    rng = random.Random(8)
+    orders = [list("abcdefgh") for _ in range(24)]
+    for o in orders:
+        rng.shuffle(o)
+    base = words(12, 1).split()
+    texts = sorted({" ".join([*base[:6], "".join(o), *base[6:]]) for o in orders}) + [words(9, 100 + i, 100_000) for i in range(2000)]
+    docs = documents(spark, list(enumerate(texts)))
+    known = lines.distinct_lines(docs).cache()
+    assert lines.candidates(docs, known).count() <= 48
+
+
 # 7
 
 
