@@ -15,7 +15,8 @@ last one stay empty. So no document is taken more often than ``MOST`` times.
 Scale. A source may hold a third of all rows: running sums go over ``BUCKETS`` hash buckets of a
 source first and inside a bucket then; slots are made in chunks that are dealt to a number of tasks
 in proportion to them; nothing is collected but sums over the table of sources. Rows equal in
-doc_id, source and text are one counted row until their places are told apart. The unpartitioned
+doc_id, source and text are one counted row until their places are told apart. The draw, the blocks taken and the
+pieces are staged: as one query their plan took hundreds of MB of the driver, however few the rows. The unpartitioned
 windows are over the table of sources, one row each. Texts are moved by `mix` only, and once.
 
 Defined results. Null text has size 0. Null is a source of its own, the last. Documents of size 0 take
@@ -181,7 +182,7 @@ def drawn(sources: DataFrame) -> DataFrame:
 def slots(sources: DataFrame, most: int = MOST) -> DataFrame:
     """The slots of the mix: shard, sid, slot (its number in the source), index of the block taken."""
     tasks = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_totals(sources)[1] // TASK_SLOTS))
-    counted = drawn(sources)
+    counted = stage(drawn(sources), "mix-drawn")
     # One row a shard and source here: a shard is thousands of blocks.
     begin = F.sum("n").over(W.partitionBy("sid").orderBy("shard")) - F.col("n")
     numbered = counted.withColumn("begin", begin).join(sources.select("sid", "blocks"), "sid")
@@ -207,7 +208,7 @@ def _met(docs: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFram
     """The places of all documents, and for each piece of one in a block that is taken: sid, begin, index, words, times."""
     rows = stage(sizes(docs).groupBy("doc_id", "source", "size", "digest").agg(F.count("*").alias("n")), "mix-sizes")
     sources = stage(targets(rows, weights, most), "mix-sources")
-    taken = slots(sources, most).groupBy("sid", "index").agg(F.count("*").alias("times"))
+    taken = stage(slots(sources, most).groupBy("sid", "index").agg(F.count("*").alias("times")), "mix-taken")
     placed = stage(laid_out(rows, sources), "mix-places")
     index = F.explode(F.sequence(_div(F.col("begin"), F.col("block")), _div(F.col("begin") + F.col("size") - 1, F.col("block"))))
     parts = placed.where("size > 0").withColumn("index", index)
@@ -267,7 +268,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     """
     name = private(docs)
     wanted = pieces(docs, weights=weights, most=most)
-    wanted = wanted.select(F.col("digest").alias(name("d")), _row_key(F.col("doc_id"), F.col("source")).alias(name("k")), F.col("size").alias(name("size")), F.col("pieces").alias(name("pieces")))
+    wanted = stage(wanted, "mix-pieces").select(F.col("digest").alias(name("d")), _row_key(F.col("doc_id"), F.col("source")).alias(name("k")), F.col("size").alias(name("size")), F.col("pieces").alias(name("pieces")))
     keyed = docs.withColumn(name("digest"), _digest(F.col("text"))).withColumn(name("key"), _row_key(F.col("doc_id").cast("long"), F.col("source").cast("string")))
     met = keyed.join(wanted, (F.col(name("digest")) == F.col(name("d"))) & (F.col(name("key")) == F.col(name("k"))))
     # The join leaves equal rows side by side, so this window moves nothing.

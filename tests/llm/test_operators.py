@@ -681,6 +681,11 @@ def test_keys_of_few_lines_are_counted_whatever_the_size(spark):
 # 7
 
 
+def test_plan_of_a_mix_is_small(spark, odd):
+    """Draws and pieces in the plan of the mix took hundreds of MB of the driver."""
+    assert mixing.mix(odd)._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 4
+
+
 def test_mixing(spark, odd):
     got = mixing.plan(odd).collect()
     assert len(got) == odd.count()
