@@ -966,6 +966,23 @@ def test_simple8b_roundtrip(values, repeat):
     assert len(begins) == -(-len(ids) // tokens.BLOCK)
 
 
+def test_frequent_pre_tokens_are_made_once(monkeypatch):
+    monkeypatch.setattr(tokens, "_MEMO", 40)
+
+    class Model:
+        made: list[str] = []
+
+        def tokenize(self, part):
+            self.made.append(part)
+            return []
+
+    memo = tokens._Memo(Model())
+    for i in range(500):
+        assert memo[" the"] == memo[f"word{'x' * (i % 7)}{i}"] == b""
+        assert len(memo) + len(memo.older) <= 40
+    assert sum(x.endswith("the") for x in Model.made) == 1 and len(Model.made) == 501
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(st.one_of(st.characters(max_codepoint=0x17F, exclude_categories=["Cs"]), st.sampled_from(" \n\t'’漢\U0001f600")), max_size=60))
 def test_memo_equals_the_library(text):
